@@ -1,9 +1,9 @@
 """One row per entity with count, last line and totals of each event type, for a fixed list of types.
 
-The records are reduced to numbers (type index, line, length), copies of a line number fall together by a hash
-aggregation that combines before its shuffle, and one grouped pass of conditional count, sum and maximum
-expressions builds the wide rows. It runs per (entity, block of lines) first, so that an entity of any size is
-aggregated in parts before the wide rows are shuffled by entity.
+The records are reduced to numbers (type index, line, length); copies of a line number fall together by a hash
+aggregation that combines before its shuffle. Counts, sums and maxima per (entity, type) are combined before the
+shuffle too, so an entity of any size arrives as at most one row per type; one grouped pass of conditional
+count, sum and maximum expressions over the fixed list, without a further shuffle, makes the wide rows of them.
 
 Defined results: records without an entity or a line number count nowhere; records without an event, or with one that
 is not in the list, count in the totals over all records only; an entity that never has a type gets count 0, total
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.plans.shared import BROADCAST_ROWS, block_of
+from timberline.plans.shared import BROADCAST_ROWS
 
 #: Types in one wide table at most; beyond that the long form (entity, type) is the right shape.
 MAX_TYPES = 4_000
@@ -44,18 +44,14 @@ def typed_records(df: DataFrame, types: list[str], entities: list[str]) -> DataF
 
 def feature_table(records: DataFrame, types: list[str], entity: str) -> DataFrame:
     """The wide table: records, events, last_line, chars, abnormal over all, then n_, last_ and chars_ by type."""
-    kind, n = F.col("kind"), len(types)
-    x = records.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), block_of(F.col("lineid")).alias("block"), "lineid", "kind", "chars", "abnormal")
-    x = x.repartition("entity", "block")
-    part = [F.count(F.lit(1)).alias("records"), F.count("kind").alias("events"), F.max("lineid").alias("last_line"), F.sum("chars").alias("chars"), F.sum("abnormal").alias("abnormal")]
-    for k in range(n):
-        mine = kind == k
-        part += [F.count(F.when(mine, 1)).alias(f"n{k}"), F.max(F.when(mine, F.col("lineid"))).alias(f"l{k}"), F.sum(F.when(mine, F.col("chars"))).alias(f"c{k}")]
-    x = x.groupBy("entity", "block").agg(*part)
-    whole = [F.sum("records").alias("records"), F.sum("events").alias("events"), F.max("last_line").alias("last_line"), F.sum("chars").alias("chars"), F.sum("abnormal").alias("abnormal")]
+    x = records.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), F.coalesce("kind", F.lit(-1)).alias("kind"), "lineid", "chars", "abnormal")
+    # combined before the shuffle: of each (entity, type) one row is left
+    x = x.groupBy("entity", "kind").agg(F.expr("count(1) n"), F.expr("max(lineid) last"), F.expr("sum(chars) chars"), F.expr("sum(abnormal) abnormal"))
+    wide = ["sum(n) records", "coalesce(sum(CASE WHEN kind >= 0 THEN n END), 0) events", "max(last) last_line", "sum(chars) chars", "sum(abnormal) abnormal"]
     for k, t in enumerate(types):
-        whole += [F.sum(f"n{k}").alias(f"n_{t}"), F.max(f"l{k}").alias(f"last_{t}"), F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"chars_{t}")]
-    return x.groupBy(F.col("entity").alias(entity)).agg(*whole)
+        name = t.replace("`", "``")
+        wide += [f"coalesce(sum(CASE WHEN kind = {k} THEN n END), 0) `n_{name}`", f"max(CASE WHEN kind = {k} THEN last END) `last_{name}`", f"coalesce(sum(CASE WHEN kind = {k} THEN chars END), 0) `chars_{name}`"]
+    return x.repartition("entity").groupBy("entity").agg(*[F.expr(e) for e in wide]).withColumnRenamed("entity", entity)
 
 
 def event_features(df: DataFrame, library: DataFrame, entity: str) -> DataFrame:
