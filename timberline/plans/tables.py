@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,7 @@ def log_records(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "train_norm_structured")
 
 
-def event_records(df: DataFrame, *more: str) -> DataFrame:
+def event_records(df: DataFrame, *more: str | Column) -> DataFrame:
     """Distinct (session_id, lineid, eventid, more...) of the records that have an event.
 
     Rows loaded again agree in these columns, so they fall together; the hash aggregation combines copies
