@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import distinctive, runs, subsequences
+from timberline.llm import distinctive, mixing, runs, subjects, subsequences, tokens
 from timberline.plans.tables import log_records, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,42 @@ def p5_events(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapsed_sessions(log_records(spark, folder))
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, folder, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts decoded from their ids, to be held against the texts themselves."""
+    x = table(spark, folder, "documents").select("doc_id", tokens.token_ids(spark, F.col("text")).alias("ids"))
+    return x.select("doc_id", F.md5(tokens.texts_of(spark, F.col("ids"))).alias("text_md5"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return subjects.assign(documents, subjects.train(documents, table(spark, folder, "subject_labels"), table(spark, folder, "subjects")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder)
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each subject in documents, and of those without any."""
+    documents = table(spark, folder, "documents").select("doc_id")
+    x = documents.join(_subjects(spark, folder), "doc_id", "left").groupBy(F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.count_distinct("doc_id").alias("documents"))
+    return x.select("subject", "documents", F.round(F.col("documents") / documents.distinct().count(), 6).alias("share"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_patterns, p5_found, p5_events)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_patterns, p5_found, p5_events, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
 #: Distinct records that have an event, of sessions.
@@ -78,4 +112,5 @@ SELECT session_id, eventid FROM tf JOIN df USING (eventid)
 WHERE tf >= 3 AND df < 0.03 * (SELECT count(DISTINCT session_id) FROM tf)""",
         "p1_scores": _SCORES,
         "p5_found": _RUNS,
+        "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     }
