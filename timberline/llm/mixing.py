@@ -59,22 +59,34 @@ def subset_sum(counts: dict[int, int], budget: int) -> dict[int, int]:
 
 
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """As subset_sum for any budget: an even share of each length first, then the fit of what is left."""
+    """As subset_sum for any budget: an even share of each length first, then the fit of what is left.
+
+    If what the even share leaves can't be fitted exactly, the share is taken of a budget less a reserve that
+    doubles, so that dynamic programming has more documents to fit with; the best fit counts.
+    """
     whole = sum(n * c for n, c in counts.items())
     if budget >= whole:
         return dict(counts)
-    taken = {n: c * budget // whole for n, c in counts.items()}
-    left = budget - sum(n * c for n, c in taken.items())
-    for n in sorted(counts, reverse=True):
-        # what is still far from the budget is filled from the long ones
-        if left <= FIT:
+    best, total, reserve = {}, -1, 0
+    while total < budget:
+        taken = {n: c * max(0, budget - reserve) // whole for n, c in counts.items()}
+        left = budget - sum(n * c for n, c in taken.items())
+        for n in sorted(counts, reverse=True):
+            # what is still far from the budget is filled from the long ones
+            if left <= FIT:
+                break
+            more = min(counts[n] - taken[n], (left - FIT // 2) // n)
+            if more > 0:
+                taken[n] += more
+                left -= more * n
+        fitted = subset_sum({n: counts[n] - taken[n] for n in counts}, min(left, FIT))
+        sums = budget - left + sum(n * c for n, c in fitted.items())
+        if sums > total:
+            best, total = {n: taken[n] + fitted.get(n, 0) for n in counts if taken[n] + fitted.get(n, 0)}, sums
+        if reserve >= min(budget, FIT):
             break
-        more = min(counts[n] - taken[n], (left - FIT // 2) // n)
-        if more > 0:
-            taken[n] += more
-            left -= more * n
-    fitted = subset_sum({n: counts[n] - taken[n] for n in counts}, min(left, FIT))
-    return {n: taken[n] + fitted.get(n, 0) for n in counts if taken[n] + fitted.get(n, 0)}
+        reserve = max(64, reserve * 2)
+    return best
 
 
 def plan_mix(counts: dict[str, dict[int, int]], targets: list[tuple[str, float, int]], total: int | None = None) -> tuple[list[tuple], list[tuple]]:

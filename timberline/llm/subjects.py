@@ -50,7 +50,7 @@ def plain(text: str) -> str:
 
 
 def statements(title: str | None, text: str) -> list[tuple[str, ...]]:
-    """The word lists of the statements of a document; the title's begins with a mark."""
+    """The word lists of the distinct statements of a document; the title's begins with a mark. Saying it again is no more evidence."""
     out = []
     if title:
         words = _WORD.findall(plain(title))
@@ -60,7 +60,7 @@ def statements(title: str | None, text: str) -> list[tuple[str, ...]]:
         words = _WORD.findall(s)
         if words:
             out.append(tuple("0" if w.isdigit() else w for w in words))
-    return out
+    return list(dict.fromkeys(out))
 
 
 def letters(word: str) -> str:
@@ -94,22 +94,24 @@ class Model:
         return [self.index[t] for t in terms(words) if t in self.index]
 
     def evidence(self, docs: list[list[tuple[str, ...]]], cache: dict | None = None) -> np.ndarray:
-        """Log odds of each subject per document, by noisy or over its statements."""
+        """Log odds of each subject per document: by noisy or over its statements, then of its strongest statement."""
         cache = {} if cache is None else cache
-        out = np.zeros((len(docs), len(self.subjects)))
+        m = len(self.subjects)
+        out = np.zeros((len(docs), 2 * m))
         for i, doc in enumerate(docs):
-            quiet = np.zeros(len(self.subjects))
+            quiet, top = np.zeros(m), np.full(m, -30.0)
             for s in doc:
-                v = cache.get(s)
-                if v is None:
+                z = cache.get(s)
+                if z is None:
                     ids = self.term_ids(s)
                     z = self.weights[ids].sum(0) + self.bias if ids else self.bias
-                    v = -np.logaddexp(0, z)  # log of the probability that the statement is silent
                     if len(cache) < 100_000 and len(s) < 40:
-                        cache[s] = v
-                quiet += v
+                        cache[s] = z
+                quiet -= np.logaddexp(0, z)  # log of the probability that all statements are silent
+                top = np.maximum(top, z)
             said = -np.expm1(np.minimum(quiet, -1e-9))
-            out[i] = np.log(np.maximum(said, 1e-9)) - np.maximum(quiet, -30)
+            out[i, :m] = np.log(np.maximum(said, 1e-9)) - np.maximum(quiet, -30)
+            out[i, m:] = top
         return np.clip(out, -12, 12)
 
     def side(self, sources: list[str], docs: list[list[tuple[str, ...]]]) -> np.ndarray:
@@ -121,13 +123,14 @@ class Model:
 
     def chain_row(self, evidence: np.ndarray, side: np.ndarray, given: np.ndarray, k: int) -> np.ndarray:
         """Inputs of the k-th unit: its subject's evidence, the strongest other, side features, labels given."""
-        j = self.order[k]
-        rest = np.delete(evidence, j, 1).max(1) if evidence.shape[1] > 1 else np.zeros(len(evidence))
-        return np.column_stack([np.ones(len(evidence)), evidence[:, j], np.maximum(evidence[:, j], 0), rest, side, given])
+        m, j = len(self.subjects), self.order[k]
+        any_, top = evidence[:, j], evidence[:, m + j]
+        rest = np.delete(evidence[:, :m], j, 1).max(1) if m > 1 else np.zeros(len(evidence))
+        return np.column_stack([np.ones(len(evidence)), any_, np.maximum(any_, 0), top, np.maximum(top, 0), rest, given, side])
 
     def decode(self, evidence: np.ndarray, side: np.ndarray) -> np.ndarray:
         """The most probable label combinations by beam search: documents x subjects."""
-        n, m = evidence.shape
+        n, m = len(evidence), len(self.subjects)
         beams = [(np.zeros(n), np.zeros((n, 0)))]
         for k in range(m):
             grown = []
@@ -186,13 +189,14 @@ def _fit_terms(docs: list[list[tuple[str, ...]]], y: np.ndarray, subjects: list[
     return index, w, b
 
 
-def _fit_unit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A regularised logistic unit for soft labels, by Newton steps."""
+def _fit_unit(x: np.ndarray, y: np.ndarray, sides: int) -> np.ndarray:
+    """A regularised logistic unit for soft labels, by Newton steps; the last ``sides`` inputs count less."""
     w = np.zeros(x.shape[1])
+    penalty = np.r_[np.ones(x.shape[1] - sides), np.full(sides, 20.0)]
     for _ in range(25):
         p = _sigmoid(x @ w)
-        h = (x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x + np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (p - y) + w)
+        h = (x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(h, x.T @ (p - y) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -214,7 +218,7 @@ def fit(sample: list[dict], subjects: list[str], sources: list[str], seed: int =
         return Model(subjects, order, index, slips, w.astype(np.float32), b, [], sources)
 
     folds = np.arange(len(docs)) % 3
-    evidence = np.full((len(docs), len(subjects)), -12.0)
+    evidence = np.full((len(docs), 2 * len(subjects)), -12.0)
     for f in range(3) if len(docs) >= 30 else []:
         held = np.flatnonzero(folds == f)
         evidence[held] = model(np.flatnonzero(folds != f)).evidence([docs[i] for i in held])
@@ -223,7 +227,7 @@ def fit(sample: list[dict], subjects: list[str], sources: list[str], seed: int =
     given = y[:, order]
     for k in range(len(subjects)):
         x = final.chain_row(evidence, side, (given[:, :k] > 0.5).astype(float), k)
-        final.chain.append(_fit_unit(x, given[:, k]) if len(docs) else np.r_[-9.0, np.zeros(x.shape[1] - 1)])
+        final.chain.append(_fit_unit(x, given[:, k], side.shape[1]) if len(docs) else np.r_[-9.0, np.zeros(x.shape[1] - 1)])
     return final
 
 
