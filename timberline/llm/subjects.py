@@ -52,6 +52,9 @@ def plain(text: str) -> str:
 def statements(title: str | None, text: str) -> list[tuple[str, ...]]:
     """The word lists of the distinct statements of a document; the title's begins with a mark. Saying it again is no more evidence."""
     out = []
+    if title and len(title.strip()) > len(text.strip()):
+        # they were swapped: the longer one is the body
+        title, text = text, title
     if title:
         words = _WORD.findall(plain(title))
         if words:
@@ -147,7 +150,7 @@ class Model:
         return out
 
 
-def _fit_terms(docs: list[list[tuple[str, ...]]], y: np.ndarray, subjects: list[str], seed: int) -> tuple[dict, np.ndarray, np.ndarray]:
+def _fit_terms(docs: list[list[tuple[str, ...]]], y: np.ndarray, subjects: list[str], seed: int, epochs: int = 14, decay: float = 2e-4) -> tuple[dict, np.ndarray, np.ndarray]:
     """Weights of terms by Adam on the noisy or, statements that occur repeatedly computed once."""
     df = Counter(t for d in docs for t in {t for s in d for t in terms(s)})
     index = {t: i for i, (t, c) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS]) if c >= 2}
@@ -157,9 +160,9 @@ def _fit_terms(docs: list[list[tuple[str, ...]]], y: np.ndarray, subjects: list[
     m, rng = len(subjects), np.random.default_rng(seed)
     w, b = np.zeros((len(index), m)), np.full(m, -4.0)
     mom = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
-    t, batch, slip, decay = 0, 256, 0.04, 2e-4
-    for epoch in range(14):
-        rate = 0.08 * (1 - epoch / 14) + 0.004
+    t, batch, slip = 0, 256, 0.04
+    for epoch in range(epochs):
+        rate = 0.08 * (1 - epoch / epochs) + 0.004
         for at in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // batch)):
             at = [i for i in at if len(of_doc[i])]
             if not at:
