@@ -15,13 +15,14 @@ def join_nested(lines: DataFrame, group: str = "file_id", order: str = "line_no"
     A record is one string, so its lines meet in one row; records themselves are spread.
     """
     nested = is_nested(F.col(text)) if nested is None else nested
-    x = carried(df := lines.withColumn("_nested", nested), group, order, F.when(~F.col("_nested"), F.col(order)), "_primary").where("_primary IS NOT NULL")
-    del df
+    x = carried(lines.withColumn("_nested", nested), group, order, F.when(~F.col("_nested"), F.col(order)), "_primary").where("_primary IS NOT NULL")
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda p: p["t"])
-    first, more = F.element_at("_parts", 1), F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0)))
-    joined = F.concat(F.rtrim(first), F.concat_ws("", F.transform(more, lambda t: F.concat(F.lit(", "), F.trim(t)))))
+    blanks = F.lit(" \t\r\n")
+    # blanks go where lines meet: behind all lines but the last, before all but the first
+    n = F.size("_parts")
+    joined = F.array_join(F.transform("_parts", lambda t, i: F.when(i == 0, F.rtrim(t, blanks)).when(i == n - 1, F.ltrim(t, blanks)).otherwise(F.trim(t, blanks))), ", ")
     x = x.groupBy(group, F.col("_primary").alias(order)).agg(parts.alias("_parts"))
-    return x.select(group, order, F.size("_parts").alias("lines"), F.when(F.size("_parts") > 1, joined).otherwise(first).alias(text))
+    return x.select(group, order, F.size("_parts").alias("lines"), F.when(F.size("_parts") > 1, joined).otherwise(F.element_at("_parts", 1)).alias(text))
 
 
 def normalise(washed: DataFrame) -> DataFrame:

@@ -192,7 +192,8 @@ def q_response_normalise(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {_REC}, {_LINES}, m AS (SELECT *, sum(CASE WHEN regexp_matches(body, '^( +|\\t+)') THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY line_no) AS g FROM lines),
 r AS (SELECT *, row_number() OVER (PARTITION BY file_id, g ORDER BY line_no) AS k, count(*) OVER (PARTITION BY file_id, g) AS n FROM m WHERE g > 0)
-SELECT file_id, min(line_no) AS line_no, count(*)::INT AS lines, md5(string_agg(CASE WHEN n = 1 THEN body WHEN k = 1 THEN rtrim(body, ' ') ELSE trim(body, ' ') END, ', ' ORDER BY line_no)) AS body FROM r GROUP BY file_id, g""")
+SELECT file_id, min(line_no) AS line_no, count(*)::INT AS lines, md5(string_agg(CASE WHEN n = 1 THEN body WHEN k = 1 THEN rtrim(body, chr(9) || ' ' || chr(10) || chr(13))
+  WHEN k = n THEN ltrim(body, chr(9) || ' ' || chr(10) || chr(13)) ELSE trim(body, chr(9) || ' ' || chr(10) || chr(13)) END, ', ' ORDER BY line_no)) AS body FROM r GROUP BY file_id, g""")
 def q_nested_join(spark: SparkSession, folder: str) -> DataFrame:
     return normalise.join_nested(lines(spark, folder)).withColumn("body", F.md5("body"))
 
