@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.config import Config
@@ -115,6 +115,29 @@ class SequenceDetector:
         return scores.confusion(self.transform(records, session, order, label), predicted="anomalous")
 
 
+def save(detector: ContextClassifier | WindowDetector | SequenceDetector, folder: str) -> None:
+    """Writes what a fitted detector has learnt: tables as parquet, the classifier in MLlib's form."""
+    for name in ("vocabulary", "classes", "idf", "ranks"):
+        table = getattr(detector, name, None)
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    if getattr(detector, "model", None) is not None:
+        from pyspark.ml import PipelineModel
+
+        PipelineModel([detector.model]).write().overwrite().save(f"{folder}/model")
+
+
+def load(detector: ContextClassifier | WindowDetector | SequenceDetector, spark: SparkSession, folder: str):
+    """The detector with what :func:`save` wrote."""
+    from pyspark.ml import PipelineModel
+
+    wanted = {ContextClassifier: ("vocabulary", "classes"), WindowDetector: ("vocabulary", "idf"), SequenceDetector: ("vocabulary", "ranks")}[type(detector)]
+    found = {n: spark.read.parquet(f"{folder}/{n}") for n in wanted}
+    if hasattr(detector, "model"):
+        found["model"] = PipelineModel.load(f"{folder}/model").stages[0]
+    return replace(detector, **found)
+
+
 def exercise_all(make, names: list[str], run) -> dict[str, object]:
     """Runs each of several models or settings: name to result."""
     return {n: run(replace(make, name=n)) for n in names}
