@@ -51,7 +51,9 @@ def feature_table(records: DataFrame, types: list[str], entity: str) -> DataFram
     for k, t in enumerate(types):
         name = t.replace("`", "``")
         wide += [f"coalesce(sum(CASE WHEN kind = {k} THEN n END), 0) `n_{name}`", f"max(CASE WHEN kind = {k} THEN last END) `last_{name}`", f"coalesce(sum(CASE WHEN kind = {k} THEN chars END), 0) `chars_{name}`"]
-    return x.repartition("entity").groupBy("entity").agg(*[F.expr(e) for e in wide]).withColumnRenamed("entity", entity)
+    # a fixed number of partitions: narrow rows become wide ones here, so sizes before tell nothing about those after
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.repartition(parts, "entity").groupBy("entity").agg(*[F.expr(e) for e in wide]).withColumnRenamed("entity", entity)
 
 
 def event_features(df: DataFrame, library: DataFrame, entity: str) -> DataFrame:
