@@ -277,9 +277,10 @@ def q_learn_width(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Component and message of each entry, as templates have them."""
-    x = layouts.log_entries(log_records(spark, folder)).where("component <> ''")
-    return x.select("lineid", F.concat("component", F.lit(":: "), "message").alias("content"))
+    """Component and message of each entry, as templates have them; of entries that state no component the message alone."""
+    x = layouts.log_entries(log_records(spark, folder))
+    stated = F.when(F.col("component") != "", F.concat("component", F.lit(":: "), "message"))
+    return x.select("lineid", F.coalesce(stated, "message").alias("content"))
 
 
 @query()
