@@ -32,22 +32,24 @@ class ContextClassifier:
             return context.binary_features(j, sample, order, c.window, c.weights)
         return context.count_features(j, sample, order, c.window, c.cover, c.weights).drop("n")
 
-    def vectors(self, records: DataFrame, sample: str, order: str = "lineid") -> DataFrame:
-        cells = vocabulary.indexed(self.features(records, sample, order), self.vocabulary)
-        return matrix.vectors(cells, [sample], self.config.template.library_size, value="value")
+    def vectors(self, records: DataFrame, samples: DataFrame, sample: str, order: str = "lineid") -> DataFrame:
+        """A row for each of ``samples``, also for those without typical records or known events."""
+        cells, size = vocabulary.indexed(self.features(records, sample, order), self.vocabulary), self.config.template.library_size
+        return matrix.filled(matrix.vectors(cells, [sample], size, value="value"), samples, [sample], size)
 
     def fit(self, records: DataFrame, labels: DataFrame, library: DataFrame, sample: str = "sample_id") -> ContextClassifier:
         """labels: sample, class_label."""
         self.vocabulary = vocabulary.build(library, self.config.template.library_size)
         names = sorted(r[0] for r in labels.select("class_label").distinct().collect())
         self.classes = records.sparkSession.createDataFrame(list(enumerate(names)), "class_index int, class_label string")
-        data = self.vectors(records, sample).join(labels, sample).join(F.broadcast(self.classes), "class_label").withColumnRenamed("class_index", "label")
+        data = self.vectors(records, labels, sample).join(F.broadcast(self.classes), "class_label").withColumnRenamed("class_index", "label")
         self.model = estimators.estimator(self.name, data.count()).fit(data)
         return self
 
     def transform(self, records: DataFrame, classes: DataFrame, sample: str = "sample_id") -> DataFrame:
         """The most probable classes of each sample with their descriptions."""
-        p = estimators.class_probabilities(self.model, self.vectors(records, sample), [sample])
+        samples = records.where(F.col(sample).isNotNull()).select(sample).distinct()
+        p = estimators.class_probabilities(self.model, self.vectors(records, samples, sample), [sample])
         return estimators.diagnosis(estimators.top_classes(p, [sample], self.config.diagnosis.top), self.classes, classes)
 
 
@@ -67,13 +69,14 @@ class WindowDetector:
         return w, windows.window_records(records, w, group, time, c.size_ms)
 
     def data(self, records: DataFrame, group: str, time: str, fit: bool) -> tuple[DataFrame, DataFrame]:
+        """Windows, and a row for each of them, also for those that hold unknown events only."""
         w, members = self.windows(records, group, time)
-        key = [group, "window_no"]
+        key, size = [group, "window_no"], self.config.template.library_size
         cells = matrix.count_matrix(vocabulary.indexed(members, self.vocabulary), key)
         if fit:
             self.idf = matrix.idf(cells, w.count())
-        v = matrix.vectors(matrix.tf_idf(cells, self.idf), key, self.config.template.library_size, value="value")
-        return w, v.join(windows.window_labels(members, group, "label"), key)
+        v = matrix.vectors(matrix.tf_idf(cells, self.idf), key, size, value="value")
+        return w, matrix.filled(v, windows.window_labels(members, group, "label"), key, size)
 
     def fit(self, records: DataFrame, library: DataFrame, group: str, time: str) -> WindowDetector:
         self.vocabulary = vocabulary.build(library, self.config.template.library_size)

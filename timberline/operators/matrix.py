@@ -46,3 +46,11 @@ def vectors(matrix: DataFrame, instance: list[str], size: int, event: str = "idx
     x = matrix.groupBy(*instance).agg(cells.alias("cells"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
     return x.select(*instance, array_to_vector(dense).alias("features"))
+
+
+def filled(vectors: DataFrame, instances: DataFrame, instance: list[str], size: int) -> DataFrame:
+    """One row for each of ``instances``: those without a cell get a vector of zeros."""
+    from pyspark.ml.functions import array_to_vector
+
+    zeros = array_to_vector(F.array_repeat(F.lit(0.0), size))
+    return instances.join(vectors, instance, "left").withColumn("features", F.coalesce("features", zeros))
