@@ -39,3 +39,16 @@ def test_samples_without_typical_records_have_a_row(spark):
     d = detectors.ContextClassifier(Config().override(SMALL), kb, name="logistic_multi").fit(log, labels, log.select("eventid").distinct())
     best = d.transform(log, classes).where("rank = 1").join(labels.withColumnRenamed("class_label", "truth"), "sample_id")
     assert best.count() == 12 and best.where("class_label = truth").count() == 12
+
+
+def test_libraries_beyond_the_configured_size_keep_all_ids(spark):
+    log = spark.createDataFrame([(s, s, 20 * s + i, f"e{i}", "x", "x", 0, 1000 * (100 * s + i)) for s in range(2) for i in range(20)], LOG)
+    library = log.select("eventid").distinct()
+    config = Config().override({"template": {"library_size": 8}, "sequences": {"width": 2, "top": 1}, "windows": {"size_ms": 3000, "step_ms": 3001}})
+    seq = detectors.SequenceDetector(config).fit(log, library, "file_id")
+    assert seq.vocabulary.where("eventid LIKE 'e%'").count() == 20
+    assert seq.transform(log, "file_id").select("target").distinct().count() == 18
+    win = detectors.WindowDetector(config)
+    win.vocabulary = seq.vocabulary
+    _, data = win.data(log, "file_id", "t", True)
+    assert win.idf.count() == 20 and {len(r["features"]) for r in data.collect()} == {21}

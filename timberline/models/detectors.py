@@ -34,12 +34,12 @@ class ContextClassifier:
 
     def vectors(self, records: DataFrame, samples: DataFrame, sample: str, order: str = "lineid") -> DataFrame:
         """A row for each of ``samples``, also for those without typical records or known events."""
-        cells, size = vocabulary.indexed(self.features(records, sample, order), self.vocabulary), self.config.template.library_size
+        cells, size = vocabulary.indexed(self.features(records, sample, order), self.vocabulary), self.vocabulary.count()
         return matrix.filled(matrix.vectors(cells, [sample], size, value="value"), samples, [sample], size)
 
     def fit(self, records: DataFrame, labels: DataFrame, library: DataFrame, sample: str = "sample_id") -> ContextClassifier:
         """labels: sample, class_label."""
-        self.vocabulary = vocabulary.build(library, self.config.template.library_size)
+        self.vocabulary = vocabulary.build(library, vocabulary.room(library, self.config.template.library_size))
         names = sorted(r[0] for r in labels.select("class_label").distinct().collect())
         self.classes = records.sparkSession.createDataFrame(list(enumerate(names)), "class_index int, class_label string")
         data = self.vectors(records, labels, sample).join(F.broadcast(self.classes), "class_label").withColumnRenamed("class_index", "label")
@@ -71,7 +71,7 @@ class WindowDetector:
     def data(self, records: DataFrame, group: str, time: str, fit: bool) -> tuple[DataFrame, DataFrame]:
         """Windows, and a row for each of them, also for those that hold unknown events only."""
         w, members = self.windows(records, group, time)
-        key, size = [group, "window_no"], self.config.template.library_size
+        key, size = [group, "window_no"], self.vocabulary.count()
         cells = matrix.count_matrix(vocabulary.indexed(members, self.vocabulary), key)
         if fit:
             self.idf = matrix.idf(cells, w.count())
@@ -79,7 +79,7 @@ class WindowDetector:
         return w, matrix.filled(v, windows.window_labels(members, group, "label"), key, size)
 
     def fit(self, records: DataFrame, library: DataFrame, group: str, time: str) -> WindowDetector:
-        self.vocabulary = vocabulary.build(library, self.config.template.library_size)
+        self.vocabulary = vocabulary.build(library, vocabulary.room(library, self.config.template.library_size))
         _, data = self.data(records, group, time, True)
         self.model = estimators.estimator(self.name, data.count()).fit(data)
         return self
@@ -103,11 +103,11 @@ class SequenceDetector:
     ranks: DataFrame | None = None
 
     def sequences(self, records: DataFrame, session: str, order: str, label: str | None) -> DataFrame:
-        x = vocabulary.indexed(records, self.vocabulary, self.config.template.library_size - 1)
+        x = vocabulary.indexed(records, self.vocabulary, self.vocabulary.count() - 1)
         return sequences.event_sequences(x, session, order, self.config.sequences.width, label)
 
     def fit(self, records: DataFrame, library: DataFrame, session: str, order: str = "lineid") -> SequenceDetector:
-        self.vocabulary = vocabulary.build(library, self.config.template.library_size)
+        self.vocabulary = vocabulary.build(library, vocabulary.room(library, self.config.template.library_size))
         self.ranks = sequences.ranked(sequences.next_event_counts(self.sequences(records, session, order, None)))
         return self
 

@@ -23,6 +23,11 @@ def build(library: DataFrame, size: int, seed: str = "seed") -> DataFrame:
     return x.select(F.when(F.col("free") == 1, FREE).otherwise(F.col("eventid")).alias("eventid"), "idx").unionByName(last)
 
 
+def room(library: DataFrame, size: int) -> int:
+    """The size of a vocabulary that holds all ids of the library and the unknown one: ``size`` or more."""
+    return max(size, library.select("eventid").where("eventid <> '0'").distinct().count() + 1)
+
+
 def static(library: DataFrame, seed: str = "seed") -> DataFrame:
     """eventid, idx: a seeded permutation of the library's ids, never updated."""
     ids = library.select("eventid").distinct()
