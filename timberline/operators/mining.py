@@ -130,11 +130,14 @@ def mine(records: DataFrame, log: LogType, library: DataFrame | None = None, ord
             F.col("eventtemplate").alias("masked"), F.lit(-1).cast("long").alias("seen"), F.lit(0).cast("long").alias("n"), tokens(F.col("eventtemplate")).alias("words"), F.col("eventid").alias("old")
         )
         x = x.unionByName(seeds)
-    x = x.withColumns({"size": F.size("words"), "head": F.col("words")[0]})
-    # a node has MAX_CHILD children at most: first words that come later are templates of their own
-    heads = x.groupBy("size", "head").agg(F.min("seen").alias("seen"))
-    late = heads.withColumn("k", F.row_number().over(Window.partitionBy("size").orderBy("seen", "head"))).where(F.col("k") >= MAX_CHILD).select("size", "head", F.lit(True).alias("late"))
-    x = x.join(late, ["size", "head"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    x = x.withColumns({"size": F.size("words"), "head": F.col("words")[0], "tail": F.element_at("words", -1)})
+    # a node has MAX_CHILD children at most: records of children that come later are templates of their own. A child is a
+    # first word, or the last word behind a first one that begins with a digit; if both do, the node's own one takes them
+    digit = {c: F.col(c).rlike(r"^\p{Nd}") for c in ("head", "tail")}
+    x = x.withColumn("child", F.when(~digit["head"], F.concat(F.lit("first "), "head")).when(~digit["tail"], F.concat(F.lit("last "), "tail")))
+    children = x.where("child IS NOT NULL").groupBy("size", "child").agg(F.min("seen").alias("seen"))
+    late = children.withColumn("k", F.row_number().over(Window.partitionBy("size").orderBy("seen", "child"))).where(F.col("k") >= MAX_CHILD).select("size", "child", F.lit(True).alias("late"))
+    x = x.join(late, ["size", "child"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
     special = list(log.special)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
