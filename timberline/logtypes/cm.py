@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.logtypes.base import CLOCK, CLOCK_WORD, CTIME, IPV4, LABELS, MAC, SNMP_MIB, LogType, ipv6
+from timberline.logtypes.base import CLOCK, CLOCK_WORD, CTIME, IPV4, IPV6, LABELS, MAC, SNMP_MIB, LogType
 from timberline.plans.shared import block_of, materialise, ship
 
 #: Lines by their beginning. Order is that of the tests.
@@ -210,6 +210,7 @@ def scan(lines: DataFrame, bits: int = 14) -> DataFrame:
     return x.join(firsts, ["file_id", "block"]).groupBy("file_id", "block").applyInPandas(pass_two, lines.schema)
 
 
+#: Parameters of this kind of log, and the times within its lines.
 _DIGITS = (
     r"(?<=value=)(( [a-f0-9]{2}){6,14})|(?<=HEX:)([A-F0-9]{2} )+|( \( \d+\.?(\d+)?-\d+\.?(\d+)? \))+|( \d+){2,}|0x[A-Fa-f0-9]+"
     r"|(?<=[^A-Za-z0-9\.])(\-?\+?\d+\.?(\d+)?\*?)|(?<=\.\.)(\d+)"
@@ -231,7 +232,7 @@ CM = LogType(
     r"\[ ?[a-z][a-z0-9\- ]*\] |(?<=:  )\([a-zA-Z0-9/ ]+\) |\+{3} ",
     session=r"^(Loading compressed image \d|Moving to Downstream Frequency)",
     masks=[
-        (CTIME, "<*>"), (SNMP_MIB, "<*>"), (IPV4, "<*>"), (ipv6(), " <*>"), (MAC, "<*>"), (_NAMED, "<*>"), (_DIGITS, " <*>"), (_REASONS, "( <*> )"),
+        (CTIME, "<*>"), (SNMP_MIB, "<*>"), (IPV4, "<*>"), (IPV6, " <*>"), (MAC, "<*>"), (_NAMED, "<*>"), (_DIGITS, " <*>"), (_REASONS, "( <*> )"),
         (r"Stat= (Continue|Success|Abort)", "Stat= <*>"), (r"qam [yn] fec [yn] snr", "qam <*> fec <*> snr"), (r"txdata [yn]", "txdata <*>"),
     ],
     special=[r"[a-zA-Z]+[0-9]*[a-zA-Z]*:", r"[a-zA-Z]+=", r"\(", r"\)"],

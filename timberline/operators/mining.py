@@ -124,7 +124,8 @@ def mine(records: DataFrame, log: LogType, library: DataFrame | None = None, ord
     text = F.col(content) if masked else mask(F.col(content), log.masks)
     x = records.where(F.trim(content) != "").select(F.col(order).cast("long").alias("seen"), text.alias("masked"))
     x = x.groupBy("masked").agg(F.min("seen").alias("seen"), F.count(F.lit(1)).alias("n"))
-    x = x.withColumn("words", tokens(F.col("masked"))).where(F.size("words") > 0).withColumn("old", F.lit(None).cast("string"))
+    # written once: children of nodes and clusters both read the distinct masked records
+    x = materialise(x.withColumn("words", tokens(F.col("masked"))).where(F.size("words") > 0)).withColumn("old", F.lit(None).cast("string"))
     if library is not None:
         seeds = library.where(F.trim("eventtemplate") != "").select(
             F.col("eventtemplate").alias("masked"), F.lit(-1).cast("long").alias("seen"), F.lit(0).cast("long").alias("n"), tokens(F.col("eventtemplate")).alias("words"), F.col("eventid").alias("old")
@@ -136,8 +137,9 @@ def mine(records: DataFrame, log: LogType, library: DataFrame | None = None, ord
     digit = {c: F.col(c).rlike(r"^\p{Nd}") for c in ("head", "tail")}
     x = x.withColumn("child", F.when(~digit["head"], F.concat(F.lit("first "), "head")).when(~digit["tail"], F.concat(F.lit("last "), "tail")))
     children = x.where("child IS NOT NULL").groupBy("size", "child").agg(F.min("seen").alias("seen"))
-    late = children.withColumn("k", F.row_number().over(Window.partitionBy("size").orderBy("seen", "child"))).where(F.col("k") >= MAX_CHILD).select("size", "child", F.lit(True).alias("late"))
-    x = x.join(late, ["size", "child"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    # the first ones of each size are few: tasks and the window keep no more than those of a size
+    first = children.withColumn("k", F.row_number().over(Window.partitionBy("size").orderBy("seen", "child"))).where(F.col("k") < MAX_CHILD).select("size", "child", F.lit(True).alias("early"))
+    x = x.join(first, ["size", "child"], "left").withColumn("late", F.col("child").isNotNull() & F.col("early").isNull())
     special = list(log.special)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -116,6 +116,7 @@ FTP_RULES = RuleBook(
     ]
 )
 
+#: Advice that several rules of cable modem consoles share, and their reasons.
 _NO_T2 = "CMTS does not broadcast ranging opportunities in MAPs, or this kind of MAPs cannot be received by CM."
 _T4 = "Usually downstream or upstream has big issues and mac reset might happen."
 _T3 = "Usually happens when the US channel is broken down. E.g. US RF cut, noise / distortion on US channel because of some external spliter / combiner / filter."

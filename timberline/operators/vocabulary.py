@@ -11,23 +11,26 @@ from timberline.plans.shared import join_counted
 FREE, UNKNOWN = "0", "ffffffff"
 
 
+def room(library: DataFrame, size: int) -> int:
+    """The size of a vocabulary that holds all ids of the library and the unknown one: ``size`` or more."""
+    return max(size, library.select("eventid").where("eventid <> '0'").distinct().count() + 1)
+
+
 def build(library: DataFrame, size: int, seed: str = "seed") -> DataFrame:
-    """eventid, idx: the library's ids on seeded places 0..size-2, the rest free, the last for unknown ones."""
-    spark = library.sparkSession
+    """eventid, idx: the library's ids on seeded places, free places up to ``size``, the last place for unknown ids.
+
+    A library of more ids than that makes the vocabulary larger; none is dropped.
+    """
+    spark, size = library.sparkSession, room(library, size)
     ids = library.select("eventid").where("eventid <> '0'").distinct().withColumn("free", F.lit(0))
     spare = spark.range(size - 1).select(F.concat(F.lit("free"), F.col("id").cast("string")).alias("eventid"), F.lit(1).alias("free"))
-    # as many free entries as there is room: ids first, then spare ones, cut at size - 1, then all shuffled by hash
+    # spare entries fill up what ids leave of size - 1 places, then all are shuffled by hash
     x = ids.unionByName(spare).withColumn("k", F.row_number().over(Window.orderBy("free", F.md5(F.concat("eventid", F.lit(seed))), "eventid"))).where(F.col("k") < size)
     x = x.withColumn("idx", F.row_number().over(Window.orderBy(F.md5(F.concat("eventid", F.lit(seed))), "eventid")) - 1)
     last = spark.createDataFrame([(UNKNOWN, size - 1)], "eventid string, idx int")
     return x.select(F.when(F.col("free") == 1, FREE).otherwise(F.col("eventid")).alias("eventid"), "idx").unionByName(last)
 
 
-def room(library: DataFrame, size: int) -> int:
-    """The size of a vocabulary that holds all ids of the library and the unknown one: ``size`` or more."""
-    return max(size, library.select("eventid").where("eventid <> '0'").distinct().count() + 1)
-
-
 def static(library: DataFrame, seed: str = "seed") -> DataFrame:
     """eventid, idx: a seeded permutation of the library's ids, never updated."""
     ids = library.select("eventid").distinct()
@@ -35,8 +38,11 @@ def static(library: DataFrame, seed: str = "seed") -> DataFrame:
 
 
 def insert(vocabulary: DataFrame, new_ids: DataFrame, seed: str = "seed") -> DataFrame:
-    """Ids that the vocabulary lacks go to free places, both in seeded order; ids beyond the room stay out."""
-    lacking = new_ids.select("eventid").distinct().join(vocabulary.select("eventid"), "eventid", "left_anti")
+    """Ids that the vocabulary lacks go to free places, both in seeded order. More ids than free places are an error."""
+    lacking = new_ids.select("eventid").where("eventid <> '0'").distinct().join(vocabulary.select("eventid"), "eventid", "left_anti")
+    wanted, there = lacking.count(), vocabulary.where(F.col("eventid") == FREE).count()
+    if wanted > there:
+        raise ValueError(f"{wanted} new ids, but {there} free places; build a larger vocabulary")
     lacking = lacking.withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat("eventid", F.lit(seed))), "eventid"))).withColumnRenamed("eventid", "new")
     free = vocabulary.where(F.col("eventid") == FREE).withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat(F.col("idx").cast("string"), F.lit(seed))), "idx")))
     placed = free.join(lacking, "k").select("idx", "new")

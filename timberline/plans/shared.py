@@ -1,8 +1,8 @@
 """Where intermediate tables live, and how small sides are joined.
 
 A cluster names a folder that all its executors share in ``spark.checkpoint.dir``. Tables written there
-survive the loss of executors, cut the lineage, and are compressed. Only where the setting is absent
-(tests, a laptop) is a folder chosen here.
+survive the loss of executors, cut the lineage, and are compressed. Only where the setting is absent and all runs
+on one machine (tests, a laptop) is a folder chosen here; a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session has no such setting."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode without such a setting."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
