@@ -11,8 +11,8 @@ from timberline.llm import tokens
 BPE = tokens.ByteBpe(f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-def small(text):
-    old, tokens.LEAF = tokens.LEAF, 8
+def small(text, leaf=8):
+    old, tokens.LEAF = tokens.LEAF, leaf
     try:
         return BPE.encode(text), BPE.decode(BPE.encode(text))
     finally:
@@ -35,6 +35,26 @@ def test_texts_that_cross_seams():
         assert small(t) == (BPE.encoding.encode_ordinary(t), t)
 
 
+def test_leaves_of_every_size_on_reviews(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]]
+    texts.append("".join(texts))
+    for leaf in (2, 8, 64, tokens.LEAF, 256):
+        assert all(small(t, leaf)[0] == BPE.encoding.encode_ordinary(t) for t in texts)
+
+
+def test_joins_in_any_order_agree():
+    text = "It's 10 o'clock:  they'll  meet\n\n at the café…  " * 20
+    cuts = [0, 3, 4, 40, 41, 300, 301, 302, len(text)]
+    parts = lambda: [BPE.leaf(text, a, b) for a, b in zip(cuts, cuts[1:])]
+    left = parts()
+    while len(left) > 1:
+        left[:2] = [BPE.join(text, *left[:2])]
+    right = parts()
+    while len(right) > 1:
+        right[-2:] = [BPE.join(text, *right[-2:])]
+    assert left[0].ids == right[0].ids == BPE.encoding.encode_ordinary(text)
+
+
 def test_table(spark):
     from tokenizers import Tokenizer
 
