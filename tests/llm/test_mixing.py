@@ -1,5 +1,6 @@
 """Budgets, the knapsack against enumeration, and drawn documents."""
 
+import random
 from itertools import product
 
 from hypothesis import given, settings
@@ -8,28 +9,44 @@ from hypothesis import strategies as st
 from timberline.llm import mixing
 
 
+def _best(counts, budget):
+    reachable = 1
+    for n, c in counts.items():
+        for _ in range(c):
+            reachable |= reachable << n
+    return (reachable & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def _sum(taken):
+    return sum(n * c for n, c in taken.items())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), max_size=4), st.integers(0, 60))
-def test_subset_sum(counts, budget):
-    taken = mixing.subset_sum(counts, budget)
+def test_against_enumeration(counts, budget):
+    taken = mixing.fit_budget(counts, budget)
     best = max(s for c in product(*[range(n + 1) for n in counts.values()]) if (s := sum(a * b for a, b in zip(c, counts))) <= budget)
-    assert all(taken[n] <= counts[n] for n in taken) and sum(n * c for n, c in taken.items()) == best
+    assert all(0 < c <= counts[n] for n, c in taken.items()) and _sum(taken) == best
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 900), st.integers(1, 40), min_size=5, max_size=20), st.floats(0, 1))
-def test_large_budgets(counts, share):
-    budget = int(sum(n * c for n, c in counts.items()) * share)
-    taken = mixing.fit_budget(counts, budget)
-    reachable = 1
-    for n, c in counts.items():
-        for _ in range(c):
-            reachable |= reachable << n
-    best = (reachable & ((1 << (budget + 1)) - 1)).bit_length() - 1
-    assert all(taken[n] <= counts[n] for n in taken)
-    total = sum(n * c for n, c in taken.items())
-    # below the size that is fitted at once the best sum is reached, above it practically always
-    assert total == best if budget <= mixing.FIT else best - total <= 1
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 900), st.integers(1, 40), min_size=1, max_size=20), st.floats(0, 1), st.sampled_from([1, 32, mixing.REACH]))
+def test_every_fit_is_the_best(counts, share, start):
+    budget = int(_sum(counts) * share)
+    taken = mixing.fit_budget(counts, budget, start)
+    assert all(0 < c <= counts[n] for n, c in taken.items()) and _sum(taken) == _best(counts, budget)
+
+
+def test_long_documents_are_fitted_exactly():
+    counts = {42781: 2, 79709: 2, 43932: 2, 86842: 2, 74236: 2, 82574: 1}
+    assert _sum(mixing.fit_budget(counts, 505_636)) == 503_920
+    rng = random.Random(4)
+    for _ in range(60):
+        counts = {rng.randint(20_000, 90_000): rng.randint(1, 3) for _ in range(rng.randint(2, 9))}
+        budget = int(_sum(counts) * rng.random())
+        assert _sum(mixing.fit_budget(counts, budget)) == _best(counts, budget)
+    # common divisors, and a budget far beyond what is looked at
+    assert _sum(mixing.fit_budget({6: 10**9, 10: 10**9, 14: 3}, 10**9 + 1)) == 10**9
 
 
 SCHEMA = "doc_id long, source string, text string, times int"
@@ -61,6 +78,13 @@ def test_one_length_for_a_third_of_all(spark):
     assert report.first()["tokens"] == 1234 and drawn.count() == 617
 
 
+def test_large_counts_are_ranked_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED", 100)
+    rows = [(i, "a", "same text", 0) for i in range(3000)]
+    drawn, _ = mixing.mix(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("a", 1.0, 1)], GOAL), total=1234)
+    assert drawn.count() == 617
+
+
 def test_empty(spark):
     drawn, report = mixing.mix(spark.createDataFrame([], SCHEMA), spark.createDataFrame([("a", 1.0, None)], GOAL))
     assert drawn.count() == 0 and report.first()["tokens"] == 0

@@ -2,12 +2,13 @@
 
 Budgets: the total is the largest at which every target source that has any tokens can fill its share within its
 ``max_repeat`` (or the total asked for). A source's budget is filled by whole passes over all its documents, and
-the rest by a subset: documents are counted by exact token length, an even share of every length is taken while it
-fits, and what is left is fitted by bounded-knapsack dynamic programming over the lengths that remain. Of each
+the rest by a subset: documents are counted by exact token length, an even share of every length is taken, and
+bounded-knapsack dynamic programming changes it by what is missing, until the sum is the best possible. Of each
 length the documents are chosen by a seeded hash.
 
 Scale: the driver sees counts by (source, length), never documents; the choice of k of n documents of a length runs over
-hash buckets, so that a length or a source that holds a third of all documents is spread over many tasks.
+hash buckets of about RANKED documents, as many as the length's count asks for, so that a length or a source that holds a
+third of all documents is spread over many tasks.
 
 Defined results: sources are compared in lower case with underscores for blanks and hyphens; documents of no target source,
 and those without tokens (null, empty), are not drawn; a target source without documents reaches nothing and is reported
@@ -17,6 +18,8 @@ repeated rows of one id count once; negative or null repeat caps count as 0; emp
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,69 +27,91 @@ from timberline.llm.subjects import source_name
 from timberline.llm.tokens import token_counts
 from timberline.plans.shared import materialise
 
-#: Tokens that dynamic programming fits at most, after the even share is taken.
-FIT = 1 << 16
-#: Buckets among which the documents of one source and length are spread.
-BUCKETS = 64
+#: Documents of one source and length that one task ranks.
+RANKED = 1 << 16
+#: Difference of sums that dynamic programming looks at first; it grows until the best sum is proven.
+REACH = 1 << 14
+
+
+def _spread(state: int, n: int, copies: int, mask: int, down: bool) -> int:
+    """The reachable sums after adding (or taking away) up to ``copies`` of n: bits shifted by doubling counts."""
+    k = 1
+    while copies:
+        k = min(k, copies)
+        state |= state >> n * k if down else (state << n * k) & mask
+        copies -= k
+        k *= 2
+    return state
 
 
-def subset_sum(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length to take so that the sum is the largest that is at most ``budget``.
+def subset_sum(counts: dict[int, int], taken: dict[int, int], gap: int, reach: int) -> dict[int, int]:
+    """What to add to ``taken`` (or take from it, as negative numbers) for the largest sum of at most ``gap`` more.
 
-    Bounded knapsack: the reachable sums are the bits of an integer, one state per length.
+    Bounded knapsack over lengths: the differences that can be reached, from -reach to reach, are the bits of an
+    integer. Of all lengths' states only every some are kept; those between are computed again on the way back.
     """
-    lengths = sorted(k for k, c in counts.items() if c > 0 and 0 < k <= budget)
-    mask, states = (1 << (budget + 1)) - 1, [1]
-    for n in lengths:
-        s, left, k = states[-1], min(counts[n], budget // n), 1
-        while left:
-            k = min(k, left)
-            s |= (s << (n * k)) & mask
-            left -= k
-            k *= 2
-        states.append(s)
-        if s >> budget & 1:
+    lengths, mask = sorted(counts), (1 << (2 * reach + 1)) - 1
+
+    def grown(state: int, n: int) -> int:
+        state = _spread(state, n, min(taken.get(n, 0), 2 * reach // n), mask, True)
+        return _spread(state, n, min(counts[n] - taken.get(n, 0), 2 * reach // n), mask, False)
+
+    every = max(1, math.isqrt(len(lengths)))
+    kept, state, done = [], 1 << reach, 0
+    for i, n in enumerate(lengths):
+        if i % every == 0:
+            kept.append(state)
+        state, done = grown(state, n), i + 1
+        if state >> (reach + gap) & 1:
             break
-    total, taken = states[-1].bit_length() - 1, {}
-    for i in range(len(states) - 1, 0, -1):
-        n, used = lengths[i - 1], 0
-        while not states[i - 1] >> total & 1:
-            total -= n
-            used += 1
-        if used:
-            taken[n] = used
-    return taken
-
-
-def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """As subset_sum for any budget: an even share of each length first, then the fit of what is left.
-
-    If what the even share leaves can't be fitted exactly, the share is taken of a budget less a reserve that
-    doubles, so that dynamic programming has more documents to fit with; the best fit counts.
+    at, out = (state & ((1 << (reach + gap + 1)) - 1)).bit_length() - 1, {}
+    for k in range((done - 1) // every, -1, -1):
+        states = [kept[k]]
+        for n in lengths[k * every : min(done, (k + 1) * every)]:
+            states.append(grown(states[-1], n))
+        for i in range(len(states) - 2, -1, -1):
+            n = lengths[k * every + i]
+            have = taken.get(n, 0)
+            # the smallest change of this length from which the lengths before reach the rest
+            change = next(c for m in range(2 * reach // n + 1) for c in (m, -m) if -have <= c <= counts[n] - have and 0 <= at - c * n <= 2 * reach and states[i] >> (at - c * n) & 1)
+            if change:
+                out[n] = change
+                at -= change * n
+    return out
+
+
+def fit_budget(counts: dict[int, int], budget: int, start: int = REACH) -> dict[int, int]:
+    """How many documents of each length to draw so that their tokens are the largest sum of at most ``budget``.
+
+    An even share of each length comes first, and what still fits; dynamic programming changes that by what is
+    missing. The result is the best there is: either nothing is missing (of the multiples of the lengths' common
+    divisor), or the differences looked at reach L * L for the greatest length L. No more is ever needed: order the
+    documents that a nearest best choice adds and takes away so that their running sum stays within L of 0; were they
+    2 L or more, a sum would occur twice and what lies between could be left out, so they are fewer, and neither
+    what is added nor what is taken away exceeds L * L.
     """
+    counts = {n: c for n, c in counts.items() if c > 0 and n > 0}
     whole = sum(n * c for n, c in counts.items())
-    if budget >= whole:
+    if budget >= whole or not counts:
         return dict(counts)
-    best, total, reserve = {}, -1, 0
-    while total < budget:
-        taken = {n: c * max(0, budget - reserve) // whole for n, c in counts.items()}
-        left = budget - sum(n * c for n, c in taken.items())
-        for n in sorted(counts, reverse=True):
-            # what is still far from the budget is filled from the long ones
-            if left <= FIT:
-                break
-            more = min(counts[n] - taken[n], (left - FIT // 2) // n)
-            if more > 0:
-                taken[n] += more
-                left -= more * n
-        fitted = subset_sum({n: counts[n] - taken[n] for n in counts}, min(left, FIT))
-        sums = budget - left + sum(n * c for n, c in fitted.items())
-        if sums > total:
-            best, total = {n: taken[n] + fitted.get(n, 0) for n in counts if taken[n] + fitted.get(n, 0)}, sums
-        if reserve >= min(budget, FIT):
+    taken = {n: c * max(0, budget) // whole for n, c in counts.items()}
+    gap = max(0, budget) - sum(n * c for n, c in taken.items())
+    for n in sorted(counts, reverse=True):
+        more = min(counts[n] - taken[n], gap // n)
+        taken[n] += more
+        gap -= more * n
+    gap -= gap % math.gcd(*counts)
+    longest = max(counts)
+    enough = max(min(longest * longest, whole), gap)
+    reach = min(max(start, 2 * longest), enough)
+    while gap:
+        change = subset_sum(counts, taken, gap, reach)
+        if reach >= enough or sum(n * c for n, c in change.items()) == gap:
+            for n, c in change.items():
+                taken[n] += c
             break
-        reserve = max(64, reserve * 2)
-    return best
+        reach = min(4 * reach, enough)
+    return {n: c for n, c in taken.items() if c}
 
 
 def plan_mix(counts: dict[str, dict[int, int]], targets: list[tuple[str, float, int]], total: int | None = None) -> tuple[list[tuple], list[tuple]]:
@@ -133,7 +158,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k
     # k of n documents of a length: whole hash buckets first, then by rank in the bucket that is cut
     h = F.xxhash64(F.lit(seed), "doc_id")
     x = sized.join(F.broadcast(plan) if len(picks) <= 200_000 else plan, ["source", "n_tokens"])
-    x = x.withColumns({"h": h, "bucket": F.pmod(h, F.lit(BUCKETS))})
+    x = x.withColumn("h", h).withColumn("bucket", F.pmod("h", F.ceil(F.col("of") / RANKED)))
     part = x.where("drawn > 0 AND drawn < of").groupBy("source", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("here"))
     ahead = F.coalesce(F.sum("here").over(Window.partitionBy("source", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = part.select("source", "n_tokens", "bucket", ahead.alias("ahead"))
