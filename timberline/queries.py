@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import text
+from timberline.functions.times import time_millis
 from timberline.logtypes import FTP
 from timberline.logtypes.base import CTIME, IPV4, MAC
 from timberline.logtypes.ftp import common_response
@@ -50,6 +51,14 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def time_sql(c: str) -> str:
+    """SQL for a stated time in milliseconds: ISO, 13 digits, compact in brackets, or as web servers write it."""
+    web = f"""epoch_ms(strptime(substr({c}, 1, 20), '%d/%b/%Y:%H:%M:%S')) + coalesce(try_cast(nullif(regexp_extract({c}, '^[^ ]*[.]([0-9]{{3}}) ', 1), '') AS BIGINT), 0)
+  - (CASE WHEN regexp_matches({c}, ' -[0-9]{{4}}$') THEN -60000 ELSE 60000 END) * (60 * substr(right({c}, 4), 1, 2)::BIGINT + right({c}, 2)::BIGINT)"""
+    return f"""CASE WHEN regexp_matches({c}, '^[0-9]{{4}}-') THEN epoch_ms({c}::TIMESTAMP) WHEN regexp_matches({c}, '^[0-9]{{13}}$') THEN try_cast({c} AS BIGINT)
+  WHEN regexp_matches({c}, '^[[][0-9]{{8}}-') THEN epoch_ms(strptime({c}, '[%Y%m%d-%H:%M:%S.%g]')) WHEN regexp_matches({c}, '^[0-9]{{2}}/') THEN {web} END"""
+
+
 # ---- relations that several queries start from
 
 _COLUMNS = ["file_id", "session_id", "lineid", "time", "content", "eventid", "eventtemplate", "label"]
@@ -88,6 +97,12 @@ def timed(spark: SparkSession, folder: str) -> DataFrame:
 _TIMED = "timed AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t, CAST(event_type = 'error' AS INT) AS label FROM events)"
 
 
+@query(f"WITH {_REC} SELECT lineid, {time_sql('time')} AS millis FROM rec")
+def q_times(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated times of all records, whatever form their program gave them."""
+    return records(spark, folder).select("lineid", time_millis(F.col("time")).alias("millis"))
+
+
 # ---- the training-data problems of the core
 
 
