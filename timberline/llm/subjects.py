@@ -10,7 +10,8 @@
 3. Decoding: beam search over the chain for the most probable combination of labels.
 
 Fitting uses a bounded sample: at most MAX_LABELLED labelled documents, those with the smallest hash of their id.
-Everything else covers all documents; the model (at most MAX_TERMS terms) is all that is broadcast.
+Everything else covers all documents; the model is all that is broadcast: the terms that two labelled documents or more
+have, so its size is bounded by the sample's.
 
 Defined results: documents whose text is null, empty or white space have no subject; a null title is no statement;
 a document labelled by several readers gets the mean of their labels; labels with a subject that is not in the list
@@ -33,9 +34,8 @@ from pyspark.sql import functions as F
 
 from timberline.plans.shared import ship
 
-#: Labelled documents that are fitted to at most, and terms of the model at most.
+#: Labelled documents that are fitted to at most.
 MAX_LABELLED = 12_000
-MAX_TERMS = 60_000
 BEAM = 6
 
 _STATEMENT = re.compile(r"[.!?…]+(?=\s|$|\w)|\n+")
@@ -96,26 +96,37 @@ class Model:
             words = tuple(w if w in self.index or len(w) < 5 else self.slips.get(letters(w), w) for w in words)
         return [self.index[t] for t in terms(words) if t in self.index]
 
+    def scored(self, said: list[tuple[str, ...]]) -> np.ndarray:
+        """Log odds of each subject for each statement: one sum over the terms of all of them."""
+        ids = [self.term_ids(s) for s in said]
+        sizes = np.array([len(i) for i in ids], int)
+        z = np.tile(self.bias, (len(said), 1))
+        some = sizes > 0
+        if some.any():
+            z[some] += np.add.reduceat(self.weights[np.concatenate([i for i in ids if i])], np.r_[0, np.cumsum(sizes[some])[:-1]])
+        return z
+
     def evidence(self, docs: list[list[tuple[str, ...]]], cache: dict | None = None) -> np.ndarray:
         """Log odds of each subject per document: by noisy or over its statements, then of its strongest statement."""
         cache = {} if cache is None else cache
-        m = len(self.subjects)
-        out = np.zeros((len(docs), 2 * m))
-        for i, doc in enumerate(docs):
-            quiet, top = np.zeros(m), np.full(m, -30.0)
-            for s in doc:
-                z = cache.get(s)
-                if z is None:
-                    ids = self.term_ids(s)
-                    z = self.weights[ids].sum(0) + self.bias if ids else self.bias
-                    if len(cache) < 100_000 and len(s) < 40:
-                        cache[s] = z
-                quiet -= np.logaddexp(0, z)  # log of the probability that all statements are silent
-                top = np.maximum(top, z)
-            said = -np.expm1(np.minimum(quiet, -1e-9))
-            out[i, :m] = np.log(np.maximum(said, 1e-9)) - np.maximum(quiet, -30)
-            out[i, m:] = top
-        return np.clip(out, -12, 12)
+        n, m = len(docs), len(self.subjects)
+        quiet, top = np.zeros((n, m)), np.full((n, m), -30.0)
+        number: dict[tuple[str, ...], int] = {}
+        at = [number.setdefault(s, len(number)) for d in docs for s in d]
+        if at:
+            # each different statement once, and those of earlier batches from the cache
+            new = [s for s in number if s not in cache]
+            fresh = dict(zip(new, self.scored(new)))
+            z = np.array([cache[s] if s in cache else fresh[s] for s in number])[at]
+            if len(cache) < 100_000:
+                cache.update({s: v for s, v in fresh.items() if len(s) < 40})
+            sizes = np.array([len(d) for d in docs])
+            some = sizes > 0
+            first = np.r_[0, np.cumsum(sizes[some])[:-1]]
+            quiet[some] = -np.add.reduceat(np.logaddexp(0, z), first)  # log of the probability that all statements are silent
+            top[some] = np.maximum(top[some], np.maximum.reduceat(z, first))
+        said = -np.expm1(np.minimum(quiet, -1e-9))
+        return np.clip(np.hstack([np.log(np.maximum(said, 1e-9)) - np.maximum(quiet, -30), top]), -12, 12)
 
     def side(self, sources: list[str], docs: list[list[tuple[str, ...]]]) -> np.ndarray:
         """Source and structure features."""
@@ -153,7 +164,7 @@ class Model:
 def _fit_terms(docs: list[list[tuple[str, ...]]], y: np.ndarray, subjects: list[str], seed: int, epochs: int = 14, decay: float = 2e-4) -> tuple[dict, np.ndarray, np.ndarray]:
     """Weights of terms by Adam on the noisy or, statements that occur repeatedly computed once."""
     df = Counter(t for d in docs for t in {t for s in d for t in terms(s)})
-    index = {t: i for i, (t, c) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS]) if c >= 2}
+    index = {t: i for i, (t, c) in enumerate(sorted(((t, c) for t, c in df.items() if c >= 2), key=lambda x: (-x[1], x[0])))}
     unique: dict[tuple[str, ...], int] = {}
     of_doc = [np.array([unique.setdefault(s, len(unique)) for s in d], int) for d in docs]
     rows = [np.array([index[t] for t in terms(s) if t in index], int) for s in unique]
