@@ -73,6 +73,24 @@ class Config:
         return yaml.safe_dump(dataclasses.asdict(self), sort_keys=False)
 
 
+@dataclass(frozen=True)
+class Paths:
+    """Where a kind of log keeps its things below a folder; training and use have files of their own."""
+
+    root: str = "data"
+    log_type: str = "ftp"
+    training: bool = True
+
+    def named(self) -> dict[str, str]:
+        """Names of things to their paths."""
+        kept, made = f"{self.root}/kept/{self.log_type}", f"{self.root}/{'train' if self.training else 'test'}/{self.log_type}"
+        kinds = {n: f"{kept}/{n}" for n in ("library", "vocabulary", "idf", "models", "rules.yaml", "classes.yaml")}
+        return kinds | {n: f"{made}/{n}" for n in ("washed", "records", "structured", "templates", "report", "diagnosis", "ranges", "lines")}
+
+    def show(self) -> str:
+        return "\n".join(f"{k}: {v}" for k, v in self.named().items())
+
+
 def _changed(x, changes: dict, path: str):
     known = {f.name for f in fields(x)}
     for k in changes:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.config import Config
-from timberline.models import estimators, scores
+from timberline.models import estimators, incremental, scores
 from timberline.operators import context, matrix, rules, sequences, vocabulary, windows
+from timberline.plans.shared import materialise
 
 
 @dataclass
@@ -35,7 +36,7 @@ class ContextClassifier:
     def vectors(self, records: DataFrame, samples: DataFrame, sample: str, order: str = "lineid") -> DataFrame:
         """A row for each of ``samples``, also for those without typical records or known events."""
         cells, size = vocabulary.indexed(self.features(records, sample, order), self.vocabulary), self.vocabulary.count()
-        return matrix.filled(matrix.vectors(cells, [sample], size, value="value"), samples, [sample], size)
+        return matrix.vectors(cells, samples, [sample], size, value="value")
 
     def fit(self, records: DataFrame, labels: DataFrame, library: DataFrame, sample: str = "sample_id") -> ContextClassifier:
         """labels: sample, class_label."""
@@ -46,6 +47,13 @@ class ContextClassifier:
         self.model = estimators.estimator(self.name, data.count()).fit(data)
         return self
 
+    def leave_one_out(self, records: DataFrame, labels: DataFrame, library: DataFrame, sample: str = "sample_id") -> DataFrame:
+        """sample, label, predicted: each sample's class by a model of all others."""
+        self.vocabulary = vocabulary.build(library, self.config.template.library_size)
+        names = sorted(r[0] for r in labels.select("class_label").distinct().collect())
+        classes = records.sparkSession.createDataFrame(list(enumerate(names)), "label int, class_label string")
+        return estimators.leave_one_out(self.vectors(records, labels, sample).join(F.broadcast(classes), "class_label"), self.name, sample)
+
     def transform(self, records: DataFrame, classes: DataFrame, sample: str = "sample_id") -> DataFrame:
         """The most probable classes of each sample with their descriptions."""
         samples = records.where(F.col(sample).isNotNull()).select(sample).distinct()
@@ -55,7 +63,8 @@ class ContextClassifier:
 
 @dataclass
 class WindowDetector:
-    """Anomalies of time windows: weighted event counts and a binary classifier."""
+    """Anomalies of time windows: weighted event counts and a binary classifier, by name one of estimators' or a learner
+    that goes on with every batch (incremental.NAMES)."""
 
     config: Config
     name: str = "logistic"
@@ -64,24 +73,36 @@ class WindowDetector:
     model: object = None
 
     def windows(self, records: DataFrame, group: str, time: str) -> tuple[DataFrame, DataFrame]:
+        """Windows, written once as all else is read from them, and their records."""
         c = self.config.windows
-        w = windows.sliding_windows(records, group, time, c.size_ms, c.step_ms)
+        w = materialise(windows.sliding_windows(records, group, time, c.size_ms, c.step_ms))
         return w, windows.window_records(records, w, group, time, c.size_ms)
 
     def data(self, records: DataFrame, group: str, time: str, fit: bool) -> tuple[DataFrame, DataFrame]:
         """Windows, and a row for each of them, also for those that hold unknown events only."""
         w, members = self.windows(records, group, time)
         key, size = [group, "window_no"], self.vocabulary.count()
-        cells = matrix.count_matrix(vocabulary.indexed(members, self.vocabulary), key)
+        cells = materialise(matrix.count_matrix(vocabulary.indexed(members, self.vocabulary), key))
         if fit:
-            self.idf = matrix.idf(cells, w.count())
-        v = matrix.vectors(matrix.tf_idf(cells, self.idf), key, size, value="value")
-        return w, matrix.filled(v, windows.window_labels(members, group, "label"), key, size)
+            self.idf = materialise(matrix.idf(cells, w.count()))
+        return w, matrix.vectors(matrix.tf_idf(cells, self.idf), windows.window_labels(members, group, "label"), key, size, value="value")
 
     def fit(self, records: DataFrame, library: DataFrame, group: str, time: str) -> WindowDetector:
-        self.vocabulary = vocabulary.build(library, self.config.template.library_size)
+        self.vocabulary = materialise(vocabulary.build(library, self.config.template.library_size))
         _, data = self.data(records, group, time, True)
-        self.model = estimators.estimator(self.name, data.count()).fit(data)
+        if self.name in incremental.NAMES:
+            self.model = incremental.learner(self.name, [group, "window_no"], self.vocabulary.count()).partial_fit(data)
+        else:
+            self.model = estimators.estimator(self.name, data.count()).fit(data)
+        return self
+
+    def partial_fit(self, records: DataFrame, library: DataFrame, group: str, time: str) -> WindowDetector:
+        """Learns on from a batch; the first one also fixes the vocabulary and the weights."""
+        if self.name not in incremental.NAMES:
+            raise ValueError(f"{self.name} doesn't learn on; one of {incremental.NAMES} does")
+        if self.model is None:
+            return self.fit(records, library, group, time)
+        self.model.partial_fit(self.data(records, group, time, False)[1])
         return self
 
     def transform(self, records: DataFrame, group: str, time: str) -> DataFrame:
@@ -96,51 +117,75 @@ class WindowDetector:
 
 @dataclass
 class SequenceDetector:
-    """Anomalies of records that don't follow the events before them: the next event among the most likely ones."""
+    """Anomalies of records that don't follow the events before them: the next event isn't among the most likely ones.
+
+    What is likely comes from counts of what followed each sequence (name "counts"), or from a feed-forward network over
+    the one-hot or plain events of the sequence ("network"). With rules, records that follow but are judged bad are
+    anomalous too.
+    """
 
     config: Config
+    name: str = "counts"
     vocabulary: DataFrame | None = None
     ranks: DataFrame | None = None
+    model: object = None
 
     def sequences(self, records: DataFrame, session: str, order: str, label: str | None) -> DataFrame:
         x = vocabulary.indexed(records, self.vocabulary, self.vocabulary.count() - 1)
         return sequences.event_sequences(x, session, order, self.config.sequences.width, label)
 
+    def features(self, x: DataFrame) -> DataFrame:
+        return sequences.one_hot(x, self.vocabulary.count()) if self.config.sequences.one_hot else sequences.scalar(x)
+
     def fit(self, records: DataFrame, library: DataFrame, session: str, order: str = "lineid") -> SequenceDetector:
-        self.vocabulary = vocabulary.build(library, self.config.template.library_size)
-        self.ranks = sequences.ranked(sequences.next_event_counts(self.sequences(records, session, order, None)))
+        self.vocabulary = materialise(vocabulary.build(library, self.config.template.library_size))
+        x, c = self.sequences(records, session, order, None), self.config.sequences
+        if self.name == "network":
+            net = estimators.next_event_network(c.width if c.one_hot else 1, self.vocabulary.count(), c.hidden, c.epochs, batch=c.batch, inputs=None if c.one_hot else c.width)
+            self.model = net.fit(self.features(x).withColumn("target", F.col("target").cast("double")))
+        else:
+            self.ranks = sequences.ranked(sequences.next_event_counts(x))
         return self
 
-    def transform(self, records: DataFrame, session: str, order: str = "lineid", label: str | None = None) -> DataFrame:
-        return sequences.rank_anomalies(self.sequences(records, session, order, label), self.ranks, self.config.sequences.top)
+    def transform(self, records: DataFrame, session: str, order: str = "lineid", label: str | None = None, knowledge: DataFrame | None = None, book: rules.RuleBook | None = None) -> DataFrame:
+        x, top = self.sequences(records, session, order, label), self.config.sequences.top
+        x = estimators.network_ranks(self.model, self.features(x), top) if self.name == "network" else sequences.rank_anomalies(x, self.ranks, top)
+        return x if knowledge is None else sequences.parameter_anomalies(x, rules.judged(records, knowledge, book, session, order), order)
 
-    def evaluate(self, records: DataFrame, session: str, order: str = "lineid", label: str = "label") -> DataFrame:
-        return scores.confusion(self.transform(records, session, order, label), predicted="anomalous")
+    def evaluate(self, records: DataFrame, session: str, order: str = "lineid", label: str = "label", knowledge: DataFrame | None = None, book: rules.RuleBook | None = None) -> DataFrame:
+        return scores.confusion(self.transform(records, session, order, label, knowledge, book), predicted="anomalous")
 
 
 def save(detector: ContextClassifier | WindowDetector | SequenceDetector, folder: str) -> None:
-    """Writes what a fitted detector has learnt: tables as parquet, the classifier in MLlib's form."""
+    """Writes what a fitted detector has learnt: tables as parquet, the classifier in MLlib's form or its own."""
     for name in ("vocabulary", "classes", "idf", "ranks"):
         table = getattr(detector, name, None)
         if table is not None:
             table.write.mode("overwrite").parquet(f"{folder}/{name}")
-    if getattr(detector, "model", None) is not None:
+    model = detector.model
+    if isinstance(model, (incremental.Bayes, incremental.Linear)):
+        incremental.save(model, f"{folder}/learner", detector.vocabulary.sparkSession)
+    elif model is not None:
         from pyspark.ml import PipelineModel
 
-        PipelineModel([detector.model]).write().overwrite().save(f"{folder}/model")
+        PipelineModel([model]).write().overwrite().save(f"{folder}/model")
 
 
-def load(detector: ContextClassifier | WindowDetector | SequenceDetector, spark: SparkSession, folder: str):
-    """The detector with what :func:`save` wrote."""
+def load(detector: ContextClassifier | WindowDetector | SequenceDetector, spark: SparkSession, folder: str, key: list[str] | None = None):
+    """The detector with what :func:`save` wrote; ``key`` names the columns of a window (naive Bayes)."""
     from pyspark.ml import PipelineModel
 
     wanted = {ContextClassifier: ("vocabulary", "classes"), WindowDetector: ("vocabulary", "idf"), SequenceDetector: ("vocabulary", "ranks")}[type(detector)]
-    found = {n: spark.read.parquet(f"{folder}/{n}") for n in wanted}
-    if hasattr(detector, "model"):
+    counts = isinstance(detector, SequenceDetector) and detector.name == "counts"
+    # read at once: the folder may be written anew by what goes on learning
+    found = {n: materialise(spark.read.parquet(f"{folder}/{n}")) for n in wanted if n != "ranks" or counts}
+    if isinstance(detector, WindowDetector) and detector.name in incremental.NAMES:
+        found["model"] = incremental.load(detector.name, key or ["file_id", "window_no"], f"{folder}/learner", spark)
+    elif not counts:
         found["model"] = PipelineModel.load(f"{folder}/model").stages[0]
     return replace(detector, **found)
 
 
-def exercise_all(make, names: list[str], run) -> dict[str, object]:
-    """Runs each of several models or settings: name to result."""
+def exercise_all(make: ContextClassifier | WindowDetector | SequenceDetector, names: list[str], run) -> dict[str, object]:
+    """Runs each of several models, each with a detector of its own: name to result."""
     return {n: run(replace(make, name=n)) for n in names}

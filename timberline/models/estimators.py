@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.plans.shared import join_counted
+
 NAMES = ["tree", "forest", "logistic", "vectors", "forest_multi", "logistic_multi", "vectors_multi"]
 
 
@@ -56,9 +58,22 @@ def top_classes(probabilities: DataFrame, key: list[str], k: int = 3) -> DataFra
 
 def diagnosis(top: DataFrame, index_to_class: DataFrame, classes: DataFrame) -> DataFrame:
     """Top classes with their labels, references and descriptions."""
-    return top.join(F.broadcast(index_to_class), "class_index").join(F.broadcast(classes), "class_label", "left")
+    return join_counted(join_counted(top, index_to_class, ["class_index"]), classes, ["class_label"], "left")
+
+
+def next_event_network(width: int, vocabulary: int, hidden: int = 128, epochs: int = 50, seed: int = 5, batch: int = 32, inputs: int | None = None) -> MultilayerPerceptronClassifier:
+    """A feed-forward network from sequences to the next event, one-hot or of so many plain ``inputs``. It is not recurrent.
+
+    ``batch`` is the number of rows that are computed at once.
+    """
+    layers = [inputs or width * vocabulary, hidden, vocabulary]
+    return MultilayerPerceptronClassifier(layers=layers, maxIter=epochs, seed=seed, blockSize=batch, featuresCol="features", labelCol="target")
 
 
-def next_event_network(width: int, vocabulary: int, hidden: int = 128, epochs: int = 50, seed: int = 5) -> MultilayerPerceptronClassifier:
-    """A feed-forward network from one-hot sequences to the next event. It is not a recurrent one."""
-    return MultilayerPerceptronClassifier(layers=[width * vocabulary, hidden, vocabulary], maxIter=epochs, seed=seed, featuresCol="features", labelCol="target")
+def network_ranks(model: Model, sequences: DataFrame, k: int) -> DataFrame:
+    """Adds rank of the target among all events by the network's probability (ties to the smaller number), and anomalous."""
+    x = model.transform(sequences).withColumn("_p", vector_to_array("probability"))
+    mine = F.element_at("_p", F.col("target").cast("int") + 1)
+    before = F.filter("_p", lambda v, i: (v > mine) | ((v == mine) & (i < F.col("target"))))
+    x = x.withColumn("rank", F.size(before) + 1).withColumn("anomalous", (F.col("rank") > k).cast("int"))
+    return x.drop("_p", "features", "rawPrediction", "probability", "prediction")

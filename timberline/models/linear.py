@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from timberline.plans.shared import ship
 
 
+#: Rows whose gradients are added up before a step.
+BATCH = 8
+
+
 @dataclass
 class LinearLearner:
     """loss: perceptron, hinge or log. Rows: features (array<double>), label (0 or 1)."""
@@ -37,17 +41,19 @@ class LinearLearner:
             self.weights = np.zeros(self.size + 1)
 
     def _epoch(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-        for i in np.random.default_rng(self.seed).permutation(len(x)):
-            z, t = x[i] @ w[:-1] + w[-1], 2 * y[i] - 1
+        """One pass over rows in seeded order, BATCH of them at a time: the mean gradient of each batch at once."""
+        order = np.random.default_rng(self.seed).permutation(len(x))
+        for at in np.array_split(order, max(1, len(x) // BATCH)):
+            t = 2 * y[at] - 1
+            z = t * (x[at] @ w[:-1] + w[-1])
             if self.loss == "log":
-                g = -t / (1 + np.exp(np.clip(t * z, -30, 30)))
+                g = -t / (1 + np.exp(np.clip(z, -30, 30)))
             else:
-                g = -t if t * z <= (1 if self.loss == "hinge" else 0) else 0.0
+                g = np.where(z <= (1 if self.loss == "hinge" else 0), -t, 0.0)
             if self.loss != "perceptron":
-                w[:-1] *= 1 - self.rate * self.penalty
-            if g:
-                w[:-1] -= self.rate * g * x[i]
-                w[-1] -= self.rate * g
+                w[:-1] *= (1 - self.rate * self.penalty) ** len(at)
+            w[:-1] -= self.rate * (g @ x[at])
+            w[-1] -= self.rate * g.sum()
         return w
 
     def partial_fit(self, batch: DataFrame) -> LinearLearner:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.text import template_id
 from timberline.logtypes import LogType
-from timberline.plans.shared import join_counted, ship
+from timberline.operators.islands import numbered
+from timberline.plans.shared import block_of, join_counted, materialise, ship
 
 #: Fixed value: longest timestamp that is tried.
 MAX_WIDTH = 50
@@ -39,48 +40,70 @@ def learn_width(records: DataFrame, library: DataFrame, order: str = "line_no",
     return best.select(F.coalesce("best.width", F.lit(-1)).alias("width"), F.col("best.line").alias("line"))
 
 
-def repair_torn(records: DataFrame, library: DataFrame, log: LogType, order: str = "line_no") -> DataFrame:
+def repair_torn(records: DataFrame, library: DataFrame, log: LogType, order: str = "line_no", bits: int = 14) -> DataFrame:
     """Records (file_id, order, eventidold, eventtemplate, ...) with torn ones repaired.
 
     Of an unknown template (eventidold '0') that begins with a character of the log type's list, the smallest head is
     cut whose rest is a known template: the rest stays in its place, and the head is put before the next unknown one
     within the log type's range. If no rest is known the whole of it is a head. Only unknown records are looked at
-    in order; all others stay where they are.
+    in order, in blocks of positions: a block's outcome is found for both of its possible beginnings (a head is held
+    back from before it, or none is), blocks are put in a row, and each is repaired from its known beginning.
     """
     ship(records.sparkSession)
-    unknown = records.where(F.col("eventidold") == "0").select("file_id", F.col(order).alias("o"), F.col("eventtemplate").alias("t"))
-    w = Window.partitionBy("file_id").orderBy("o")
-    unknown = unknown.withColumn("_key", F.struct("file_id", "o"))
-    cut = known_tails(unknown, library, F.col("t"), None, 1).select("file_id", "o", "t", "cut")
     # positions count all records of the file, known ones too
-    every = records.select("file_id", F.col(order).alias("o")).withColumn("at", F.row_number().over(w))
-    cut = cut.join(every, ["file_id", "o"])
+    every = numbered(records.select("file_id", F.col(order).alias("o"), "eventidold", F.col("eventtemplate").alias("t")), "file_id", "o", "at")
+    unknown = materialise(every.where(F.col("eventidold") == "0").select("file_id", "o", "t", "at", F.struct("file_id", "o").alias("_key")))
+    cut = known_tails(unknown, library, F.col("t"), None, 1).select("file_id", "o", "t", "at", "cut", block_of(F.col("at"), bits).alias("block"))
+    cut = materialise(cut)
     heads, special, reach = log.torn_heads, set(log.torn_special), log.scan_range
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+    def scan(pdf: pd.DataFrame, held: tuple | None) -> tuple[list, tuple | None]:
+        """What becomes of each record, and the head (with its position) that is held back behind the last one."""
         import hashlib
 
+        out = []
+        for t, c, at in zip(pdf["t"], pdf["cut"], pdf["at"]):
+            if held is not None:
+                out.append(held[0] + t if at - held[1] <= reach else t)
+                held = None
+            elif t[:1] not in heads:
+                out.append(t)
+            elif c is None or c != c:
+                # no rest is known: another writer's line begins in the next one
+                out.append(None)
+                held = (t, int(at))
+            else:
+                rest = t[int(c) :]
+                head = t[: int(c)]
+                held = (head[:-1] if hashlib.md5(rest.encode()).hexdigest()[:8] in special else head, int(at))
+                out.append(rest)
+        return out, held
+
+    def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("o")
+        ends = [scan(pdf, None)[1], scan(pdf.iloc[1:], None)[1]]
+        cells = [x for e in ends for x in (e or (None, None))]
+        return pd.DataFrame([[pdf["file_id"].iloc[0], pdf["block"].iloc[0], *cells]], columns=["file_id", "block", "free_t", "free_at", "held_t", "held_at"]).astype({"free_at": "Int64", "held_at": "Int64"})
+
+    def in_a_row(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, held = [], None
+        for r in pdf.sort_values("block").itertuples(index=False):
+            rows.append((r.file_id, r.block, *(held or (None, None))))
+            t, at = (r.held_t, r.held_at) if held else (r.free_t, r.free_at)
+            held = None if t is None or t != t else (t, int(at))
+        return pd.DataFrame(rows, columns=["file_id", "block", "from_t", "from_at"]).astype({"from_at": "Int64"})
+
+    kind = records.schema["file_id"].dataType.simpleString()
+    ends = cut.groupBy("file_id", "block").applyInPandas(outcomes, f"file_id {kind}, block long, free_t string, free_at long, held_t string, held_at long")
+    begins = materialise(ends.groupBy("file_id").applyInPandas(in_a_row, f"file_id {kind}, block long, from_t string, from_at long"))
+
+    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o")
-        pending, since, out = None, 0, []
-        for o, t, c, at in zip(pdf["o"], pdf["t"], pdf["cut"], pdf["at"]):
-            text = t
-            if pending is not None:
-                if at - since <= reach:
-                    text = pending + t
-                pending = None
-            elif t[:1] in heads:
-                if c == c and c is not None:
-                    c = int(c)
-                    text, pending, since = t[c:], t[:c], at
-                    if hashlib.md5(text.encode()).hexdigest()[:8] in special:
-                        pending = pending[:-1]
-                else:
-                    # no rest is known: another writer's line begins in the next one
-                    text, pending, since = None, t, at
-            out.append((o, text))
-        return pd.DataFrame({"file_id": pdf["file_id"].iloc[0], "o": [a for a, _ in out], "repaired": [b for _, b in out], "torn": True})
-
-    fixed = cut.groupBy("file_id").applyInPandas(scan, "file_id int, o long, repaired string, torn boolean")
+        t, at = pdf["from_t"].iloc[0], pdf["from_at"].iloc[0]
+        out, _ = scan(pdf, None if t is None or t != t else (t, int(at)))
+        return pd.DataFrame({"file_id": pdf["file_id"], "o": pdf["o"], "repaired": out, "torn": True})
+
+    fixed = cut.join(begins, ["file_id", "block"]).groupBy("file_id", "block").applyInPandas(repair, f"file_id {kind}, o long, repaired string, torn boolean")
     x = records.join(fixed.withColumnRenamed("o", order), ["file_id", order], "left")
     x = x.where("torn IS NULL OR repaired IS NOT NULL")
     return x.withColumn("eventtemplate", F.coalesce("repaired", "eventtemplate")).drop("repaired", "torn")

@@ -23,9 +23,9 @@ def carried(df: DataFrame, group: str, order: str, value: Column, name: str, bit
     return x.join(tops, [group, "_block"], "left").withColumn(name, F.coalesce("_own", "_before")).drop("_block", "_value", "_own", "_top", "_before")
 
 
-def running_count(df: DataFrame, group: str, order: str, flag: Column, name: str, bits: int = 16) -> DataFrame:
-    """Adds the number of rows with ``flag`` at or before each row of its group, in ``order``."""
-    x = df.withColumns({"_block": block_of(F.col(order), bits), "_value": F.coalesce(flag, F.lit(False)).cast("long")})
+def running_sum(df: DataFrame, group: str, order: str, value: Column, name: str, bits: int = 16) -> DataFrame:
+    """Adds the sum of ``value`` (whole numbers, null is 0) over the rows of the group at or before each, in ``order``."""
+    x = df.withColumns({"_block": block_of(F.col(order), bits), "_value": F.coalesce(value.cast("long"), F.lit(0))})
     w = Window.partitionBy(group, "_block").orderBy(order)
     x = x.withColumn("_own", F.sum("_value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     tops = x.groupBy(group, "_block").agg(F.sum("_value").alias("_top"))
@@ -34,6 +34,11 @@ def running_count(df: DataFrame, group: str, order: str, flag: Column, name: str
     return x.join(tops, [group, "_block"], "left").withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).drop("_block", "_value", "_own", "_top", "_before")
 
 
+def running_count(df: DataFrame, group: str, order: str, flag: Column, name: str, bits: int = 16) -> DataFrame:
+    """Adds the number of rows with ``flag`` at or before each row of its group, in ``order``."""
+    return running_sum(df, group, order, flag, name, bits)
+
+
 def numbered(df: DataFrame, group: str, order: str, name: str, bits: int = 16) -> DataFrame:
     """Adds positions from 1 within each group, in ``order`` (unique in its group)."""
     return running_count(df, group, order, F.lit(True), name, bits)

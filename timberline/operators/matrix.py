@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.plans.shared import join_counted
+from timberline.plans.shared import join_counted, with_vectors
 
 #: Fixed value: keeps the document frequency from being zero.
 SMALL = 1e-8
@@ -38,19 +38,12 @@ def sigmoid(matrix: DataFrame, value: str = "n") -> DataFrame:
     return matrix.withColumn("squashed", 1 / (1 + F.exp(-F.col(value))))
 
 
-def vectors(matrix: DataFrame, instance: list[str], size: int, event: str = "idx", value: str = "n") -> DataFrame:
-    """One sparse vector per instance, for MLlib. A row holds at most ``size`` cells."""
-    from pyspark.ml.functions import array_to_vector
+def vectors(matrix: DataFrame, instances: DataFrame, instance: list[str], size: int, event: str = "idx", value: str = "n") -> DataFrame:
+    """The instances with one sparse vector each, for MLlib; those without a cell have one without entries.
 
-    cells = F.map_from_entries(F.collect_list(F.struct(F.col(event).cast("int"), F.col(value).cast("double"))))
-    x = matrix.groupBy(*instance).agg(cells.alias("cells"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
-    return x.select(*instance, array_to_vector(dense).alias("features"))
-
-
-def filled(vectors: DataFrame, instances: DataFrame, instance: list[str], size: int) -> DataFrame:
-    """One row for each of ``instances``: those without a cell get a vector of zeros."""
-    from pyspark.ml.functions import array_to_vector
-
-    zeros = array_to_vector(F.array_repeat(F.lit(0.0), size))
-    return instances.join(vectors, instance, "left").withColumn("features", F.coalesce("features", zeros))
+    A row holds its cells only, at most ``size``.
+    """
+    cells = F.array_sort(F.collect_list(F.struct(F.col(event).cast("int").alias("i"), F.col(value).cast("double").alias("v"))))
+    x = instances.join(matrix.groupBy(*instance).agg(cells.alias("_cells")), instance, "left")
+    entry = lambda f: F.coalesce(F.transform("_cells", lambda c: c[f]), F.array())
+    return with_vectors(x, size, entry("i"), entry("v")).drop("_cells")

@@ -128,7 +128,7 @@ def mine(records: DataFrame, log: LogType, library: DataFrame | None = None, ord
     x = materialise(x.withColumn("words", tokens(F.col("masked"))).where(F.size("words") > 0)).withColumn("old", F.lit(None).cast("string"))
     if library is not None:
         seeds = library.where(F.trim("eventtemplate") != "").select(
-            F.col("eventtemplate").alias("masked"), F.lit(-1).cast("long").alias("seen"), F.lit(0).cast("long").alias("n"), tokens(F.col("eventtemplate")).alias("words"), F.col("eventid").alias("old")
+            F.col("eventtemplate").alias("masked"), F.lit(-(1 << 62)).alias("seen"), F.lit(0).cast("long").alias("n"), tokens(F.col("eventtemplate")).alias("words"), F.col("eventid").alias("old")
         )
         x = x.unionByName(seeds)
     x = x.withColumns({"size": F.size("words"), "head": F.col("words")[0], "tail": F.element_at("words", -1)})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.operators.islands import numbered
+from timberline.plans.shared import with_vectors
 
 
 def event_sequences(records: DataFrame, session: str, order: str, width: int, label: str | None = None, event: str = "idx", bits: int = 16) -> DataFrame:
@@ -40,9 +41,23 @@ def rank_anomalies(sequences: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
     return x.withColumn("anomalous", F.coalesce((F.col("rank") > k).cast("int"), F.lit(1)))
 
 
+def parameter_anomalies(anomalies: DataFrame, judged: DataFrame, order: str = "lineid") -> DataFrame:
+    """Records that follow their sequence are still anomalous if their rule says so: adds severity, changes anomalous.
+
+    judged: order and severity, one row per record (operators.rules); records that it lacks are not judged.
+    """
+    x = anomalies.join(judged.select(order, "severity"), order, "left").withColumn("severity", F.coalesce("severity", F.lit("info")))
+    return x.withColumn("anomalous", F.greatest("anomalous", (F.col("severity") != "info").cast("int")))
+
+
 def one_hot(sequences: DataFrame, size: int) -> DataFrame:
-    """Adds features: the events of the sequence one-hot, as one vector of width times size."""
+    """Adds features: the events of the sequence one-hot, as one sparse vector of width times size."""
+    width = sequences.select(F.max(F.size("event_seq"))).first()[0] or 0
+    return with_vectors(sequences, width * size, F.transform("event_seq", lambda e, i: i * size + e), F.transform("event_seq", lambda e: F.lit(1.0)))
+
+
+def scalar(sequences: DataFrame) -> DataFrame:
+    """Adds features: the event numbers of the sequence as they are."""
     from pyspark.ml.functions import array_to_vector
 
-    rows = F.transform("event_seq", lambda e: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == e).cast("double")))
-    return sequences.withColumn("features", array_to_vector(F.flatten(rows)))
+    return sequences.withColumn("features", array_to_vector(F.transform("event_seq", lambda e: e.cast("double"))))

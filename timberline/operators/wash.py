@@ -62,7 +62,7 @@ def without_empty(lines: DataFrame) -> DataFrame:
 
 
 def hand_over_labels(all_lines: DataFrame, kept: DataFrame) -> DataFrame:
-    """Gives session marks and class labels of lines that went to the next line that stayed."""
+    """Gives session marks and class labels of lines that went to the next line that stayed; of several classes the latest."""
     labelled = all_lines.where("marked OR class_label IS NOT NULL").select("file_id", "line_no", F.col("marked").alias("m"), F.col("class_label").alias("c"))
     lost = labelled.join(kept.select("file_id", "line_no"), ["file_id", "line_no"], "left_anti")
     # the next kept line: its number runs backward over kept lines and lost labels only
@@ -71,11 +71,21 @@ def hand_over_labels(all_lines: DataFrame, kept: DataFrame) -> DataFrame:
     )
     back = x.withColumn("back", -F.col("line_no"))
     given = carried(back, "file_id", "back", F.col("target"), "to").where("target IS NULL AND to IS NOT NULL")
-    given = given.groupBy("file_id", F.col("to").alias("line_no")).agg(F.max("m").alias("m"), F.max_by("c", "back").alias("c"))
+    given = given.groupBy("file_id", F.col("to").alias("line_no")).agg(F.max("m").alias("m"), F.max_by("c", F.when(F.col("c").isNotNull(), -F.col("back"))).alias("c"))
     x = kept.join(given, ["file_id", "line_no"], "left")
     return x.withColumns({"marked": F.col("marked") | F.coalesce("m", F.lit(False)), "class_label": F.coalesce("class_label", "c")}).drop("m", "c")
 
 
+def cleaned(body: Column, log: LogType) -> Column:
+    """A line's body without noise; of records glued together the last one; responses in their common words."""
+    if log.glued:
+        # a record glued behind another: the last inner timestamp begins what is kept
+        last = F.regexp_extract(body, rf"^(?s).{{2}}.*({log.glued}.*)$", 1)
+        body = F.when(~is_nested(body) & ~body.rlike(r"^ *----") & (last != ""), last).otherwise(body)
+    body = F.regexp_replace(body, log.clean, "")
+    return log.normalise(body) if log.normalise else body
+
+
 def wash(lines: DataFrame, log: LogType, width: int | None = None, lite: bool = False, max_line: int | None = None) -> DataFrame:
     """Washed lines: file_id, line_no, ts_text, abnormal, marked, class_label, body.
 
@@ -88,15 +98,7 @@ def wash(lines: DataFrame, log: LogType, width: int | None = None, lite: bool =
         return x.withColumn("body", split_apart(F.col("body"), log.lite_left, log.lite_right))
     headed = take_head(lines, log, width)
     x = clean_head(headed)
-    body = F.col("body")
-    if log.glued:
-        # a record glued behind another: the last inner timestamp begins what is kept
-        last = F.regexp_extract(body, rf"^(?s).{{2}}.*({log.glued}.*)$", 1)
-        body = F.when(~is_nested(body) & ~body.rlike(r"^ *----") & (last != ""), last).otherwise(body)
-    body = F.regexp_replace(body, log.clean, "")
-    if log.normalise:
-        body = log.normalise(body)
-    x = x.withColumn("body", body)
+    x = x.withColumn("body", cleaned(F.col("body"), log))
     if log.scan:
         x = log.scan(x)
     x = x.where(~is_empty(F.col("body")))

@@ -15,7 +15,7 @@ from timberline.config import Config
 from timberline.functions.text import mask, parameters
 from timberline.logtypes import LOG_TYPES, LogType
 from timberline.operators import heads, mining, normalise, rules, wash
-from timberline.plans.shared import materialise
+from timberline.plans.shared import join_counted, materialise
 
 FOREIGN = -1
 
@@ -56,10 +56,12 @@ def structure(lines: DataFrame, config: Config, library: DataFrame | None = None
     # ids are unique in files only: a global order for mining
     records = materialise(records.withColumn("seen", F.col("file_id").cast("long") * F.lit(1 << 40) + F.col("lineid")))
     assigned, templates = mining.mine(records, log, library, "seen")
+    # a curated sample is there to be mined first, not to be judged
+    records = records.where("file_id >= 0")
     out = records.withColumn("masked", mask(F.col("content"), log.masks)).join(assigned, "masked", "left")
     if repair and library is not None:
         known = templates.select("eventid", "eventidold")
-        torn = out.where("eventid IS NOT NULL").join(F.broadcast(known) if known.count() <= 200_000 else known, "eventid")
+        torn = join_counted(out.where("eventid IS NOT NULL"), known, ["eventid"])
         fixed = materialise(heads.repair_torn(torn, library, log, "lineid").drop("eventid", "eventidold", "masked"))
         assigned, templates = mining.mine(fixed, log, library, "seen", "eventtemplate", masked=True)
         out = fixed.withColumn("masked", F.col("eventtemplate")).drop("eventtemplate").join(assigned, "masked", "left")

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A side is broadcast only if it was counted and has at most so many rows (of a few short columns).
 BROADCAST_ROWS = 200_000
@@ -32,13 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared folder and return the written table: lineage ends here."""
+def materialise(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` into the shared folder and return the written table, read as ``schema`` if given: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def with_vectors(df: DataFrame, size: int, indices: Column, values: Column, name: str = "features") -> DataFrame:
+    """Adds a column of sparse vectors of ``size``, written and read again as such: MLlib reads its rows many times.
+
+    ``indices`` (ascending) and ``values`` are arrays. Nothing leaves the JVM, and no row becomes dense.
+    """
+    from pyspark.ml.linalg import VectorUDT
+
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.cast("array<int>").alias("indices"), values.cast("array<double>").alias("values"))
+    x = df.withColumn(name, parts)
+    return materialise(x, StructType([StructField(f.name, VectorUDT()) if f.name == name else f for f in x.schema]))
 
 
 def _drop_all() -> None:

@@ -569,10 +569,8 @@ def q_seq_anomaly(spark: SparkSession, folder: str) -> DataFrame:
 SELECT odd.lineid, CASE WHEN anomalous = 1 OR severity <> 'info' THEN 1 ELSE 0 END AS anomalous FROM odd JOIN j USING (lineid)""")
 def q_param_anomaly(spark: SparkSession, folder: str) -> DataFrame:
     """A record that follows its sequence is still anomalous if its rule says so."""
-    kb = table(spark, folder, "kb_no_para").select("eventid", "severity")
-    j = records(spark, folder).join(F.broadcast(kb), "eventid", "left").select("lineid", F.coalesce("severity", F.lit("info")).alias("severity"))
-    x = _anomalies(spark, folder).join(j, "lineid")
-    return x.select("lineid", F.greatest("anomalous", (F.col("severity") != "info").cast("int")).alias("anomalous"))
+    j = rules.judged(records(spark, folder), table(spark, folder, "kb_no_para"))
+    return sequences.parameter_anomalies(_anomalies(spark, folder), j).select("lineid", "anomalous")
 
 
 # ---- models and scores
@@ -642,7 +640,7 @@ def _fitted(name: str) -> Query:
         cells, instances = _session_cells(spark, folder)
         v = vocabulary.static(table(spark, folder, "template_lib"))
         size = v.count()
-        data = matrix.vectors(vocabulary.indexed(cells, v), ["session_id"], size, value="value").join(instances, "session_id")
+        data = matrix.vectors(vocabulary.indexed(cells, v), instances, ["session_id"], size, value="value")
         model = estimator(name, data.count()).fit(data)
         return model.transform(data).groupBy("label", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("sessions"))
 
@@ -662,6 +660,11 @@ def q_dup_groups(spark: SparkSession, folder: str) -> DataFrame:
     return x.select(F.md5("text").alias("text_md5"), "copies", F.array_join("positions", " ").alias("positions"))
 
 
+@query("""SELECT md5(text) AS text_md5, n AS copies, doc_id FROM (SELECT text, doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL AND trim(text) NOT IN ('', '0')) WHERE n > 1""")
+def q_dup_members(spark: SparkSession, folder: str) -> DataFrame:
+    return tools.duplicate_members(table(spark, folder, "documents"), ["text"], "doc_id").select(F.md5("text").alias("text_md5"), "copies", "doc_id")
+
+
 @query(f"WITH {_REC} SELECT lineid, coalesce(time, lineid::VARCHAR) AS place FROM rec WHERE eventid = '{_id(_QUEUE)}'")
 def q_find_event(spark: SparkSession, folder: str) -> DataFrame:
     return tools.records_of(records(spark, folder), _id(_QUEUE))

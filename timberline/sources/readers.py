@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timberline.operators.islands import running_sum
+from timberline.plans.shared import block_of, join_counted
+
 
 def numbered_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """Lines of text files: file, line_no (from 1), value; without byte order marks and carriage returns.
@@ -33,25 +37,40 @@ def exploded_lines(df: DataFrame, key: str, text: str, key_as: str = "file_id")
 def concatenated(parts: list[DataFrame], order: list[str]) -> DataFrame:
     """Tables one after the other, in the order given: source_no, line_id (from 1 over all) and the columns.
 
-    Line ids come from counts per table and block, not from one sort of everything.
+    ``order``: a whole number last, before it columns of few values. Line ids come from counts per table and block, not
+    from one sort of everything.
     """
     x = None
     for k, p in enumerate(parts):
         p = p.withColumn("source_no", F.lit(k))
         x = p if x is None else x.unionByName(p)
-    ranked = x.withColumn("bucket", F.floor(F.col(order[-1]) / 65536)) if len(order) == 1 else x.withColumn("bucket", F.col(order[0]))
-    per = ranked.groupBy("source_no", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("source_no", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("source_no", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("ahead"))
-    inner = F.row_number().over(Window.partitionBy("source_no", "bucket").orderBy(*order))
-    return ranked.withColumn("k", inner).join(per, ["source_no", "bucket"]).withColumn("line_id", F.col("k") + F.col("ahead")).drop("k", "ahead", "bucket")
+    # blocks of the last order column, a number; the columns before it, if any, order tables of few values
+    *above, last = order
+    x = x.withColumn("_part", block_of(F.col(last), 16))
+    per = x.groupBy("source_no", *above, "_part").agg(F.count(F.lit(1)).alias("n"))
+    tables = per.groupBy("source_no", *above).agg(F.sum("n").alias("rows"))
+    w = Window.orderBy("source_no", *above).rowsBetween(Window.unboundedPreceding, -1)
+    tables = tables.select("source_no", *above, F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("earlier"))
+    per = running_sum(per.withColumn("_group", F.struct("source_no", *above)), "_group", "_part", F.col("n"), "upto").join(tables, ["source_no", *above])
+    per = per.select("source_no", *above, "_part", (F.col("earlier") + F.col("upto") - F.col("n")).alias("ahead"))
+    inner = F.row_number().over(Window.partitionBy("source_no", *above, "_part").orderBy(last))
+    return x.withColumn("k", inner).join(per, ["source_no", *above, "_part"]).withColumn("line_id", F.col("k") + F.col("ahead")).drop("k", "ahead", "_part")
+
+
+#: What comes before the path of a file's address.
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
 
 
 def concatenated_files(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Files in list order: ordinal, file, line_no, value."""
-    lines = numbered_lines(spark, files)
-    names = spark.createDataFrame([(i, Path(f).name) for i, f in enumerate(files)], "ordinal int, name string")
-    return lines.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(F.broadcast(names), "name").select("ordinal", "file", "line_no", "value")
+    """Files in list order: ordinal, file, line_no, value. Files are told apart by their whole paths."""
+    lines = numbered_lines(spark, files).withColumn("path", F.url_decode(F.regexp_replace(F.regexp_replace("file", _SCHEME, ""), r"\+", "%2B")))
+    places = spark.createDataFrame([(i, re.sub(_SCHEME, "", f)) for i, f in enumerate(files)], "ordinal int, path string")
+    return join_counted(lines, places, ["path"], rows=len(files)).select("ordinal", "file", "line_no", "value")
+
+
+def with_sample_first(lines: DataFrame, sample: DataFrame) -> DataFrame:
+    """A curated sample (line_no, value) before the lines (file_id, line_no, value), as file -1: mining meets it first."""
+    return sample.select(F.lit(-1).alias("file_id"), "line_no", "value").unionByName(lines.select(F.col("file_id").cast("int").alias("file_id"), "line_no", "value"))
 
 
 def folder_files(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataFrame:

@@ -42,3 +42,27 @@ def as_text(df: DataFrame, limit: int = 100) -> str:
     """A report's first rows as text for people."""
     rows = df.limit(limit).collect()
     return "\n".join("  ".join("" if v is None else str(v) for v in r) for r in rows)
+
+
+def write_matrix(vectors: DataFrame, vocabulary: DataFrame, path: str, label: str = "label") -> None:
+    """A count matrix as CSV for people: one column per event of the vocabulary, in its order, and the label last.
+
+    ``vectors`` has features and label. Events are hundreds or thousands, so a row is one line of text.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    names = [r["eventid"] for r in vocabulary.orderBy("idx").collect()]
+    seen: dict[str, int] = {}
+    columns = []
+    for k, n in enumerate(names):
+        # free places share one name: they are numbered
+        seen[n] = seen.get(n, 0) + 1
+        columns.append(F.col("_v")[k].alias(n if seen[n] == 1 else f"{n}_{seen[n]}"))
+    x = vectors.withColumn("_v", vector_to_array("features")).select(*columns, F.col(label))
+    x.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_files(lines: DataFrame, folder: str, key: str = "file_id", order: str = "line_no", column: str = "value") -> None:
+    """A text file per value of ``key``, each in a folder of its own, lines in order."""
+    x = lines.select(key, order, F.coalesce(column, F.lit("")).alias(column)).repartition(key).sortWithinPartitions(key, order)
+    x.select(key, column).write.mode("overwrite").partitionBy(key).text(folder)
