@@ -41,6 +41,31 @@ def test_layouts(spark, time, content, expected):
     assert (r["ts_text"], r["level"], r["component"], r["message"]) == expected
 
 
+@pytest.mark.parametrize(
+    ("content", "expected"),
+    [
+        ("2023-03-01 00:00:01,250 [ERROR] (Pump): lost 3", ("2023-03-01 00:00:01.250", "ERROR", "Pump", "lost 3")),
+        ("2023-03-01T00:00:01Z WARN disk.cache - full: x", ("2023-03-01 00:00:01.000", "WARNING", "disk.cache", "full: x")),
+        ("<info> [Pump] started", ("2023-03-01 00:00:01.000", "INFO", "Pump", "started")),
+        ("Pump [debug] retry 1", ("2023-03-01 00:00:01.000", "DEBUG", "Pump", "retry 1")),
+        ("17 | NOTICE | Pump | up - down", ("2023-03-01 00:00:01.000", "NOTICE", "Pump", "up - down")),
+        ("(note) [Pump] no level", ("2023-03-01 00:00:01.000", "", "", "(note) [Pump] no level")),
+        ("Error reading it: gone", ("2023-03-01 00:00:01.000", "", "", "Error reading it: gone")),
+    ],
+)
+def test_layouts_that_no_form_names(spark, content, expected):
+    r = run(spark, [(1, TS if not content.startswith("2023") else None, content)])[1]
+    assert (r["ts_text"], r["level"], r["component"], r["message"]) == expected
+
+
+def test_entries_over_many_blocks(spark, monkeypatch):
+    rows = [(i, TS, f"Info: A:: e{i}") if i % 90 == 3 else (i, None, f"more {i}") for i in range(1000)]
+    whole = {k: tuple(v) for k, v in run(spark, rows).items()}
+    monkeypatch.setattr(layouts, "BLOCK_BITS", 4)
+    monkeypatch.setattr(layouts, "TASK_BLOCKS", 3)
+    assert {k: tuple(v) for k, v in run(spark, rows).items()} == whole and len(whole) == 13
+
+
 def test_continuation_and_gaps(spark):
     rows = [
         (1, TS, "Info: A:: one"), (2, None, "caused by x"), (3, TS, "  indented with a time"), (4, TS, None), (5, None, " "), (6, None, "\tmore"),

@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.times import time_millis, utc_text
-from timberline.plans.shared import ship
+from timberline.operators.islands import carried
+from timberline.plans.shared import join_counted, materialise, ship
 
-#: Rows of the signature table at most, their length, and blocks of line numbers at most.
+#: Rows of the signature table at most, and their length.
 MAX_SIGNATURES = 20_000
 MAX_SIGNATURE_LENGTH = 300
-MAX_BLOCKS = 100_000
-LEAST_BLOCK_BITS = 16
+#: Blocks of 2**BLOCK_BITS line numbers, and how many of them one task gets at most, on average.
+BLOCK_BITS = 14
+TASK_BLOCKS = 24
 
 #: Spellings of the levels.
 LEVELS = {
@@ -68,6 +70,7 @@ RULES = {
 FIELDS = ["time", "level", "component", "message"]
 
 _LEVEL_OF = {word: level for level, words in LEVELS.items() for word in words}
+_SPELLINGS = pa.array(sorted(_LEVEL_OF), pa.string())
 
 
 def signatures(lines: pa.Array) -> pa.Array:
@@ -79,9 +82,56 @@ def signatures(lines: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(s, r"[a9 .,;!?/()_-]+$", "~")
 
 
+#: Fields of a head as a signature shows them, with the expression for their text: a time, a word in brackets, another
+#: bracket, a name, a number.
+_HEAD_FIELDS = [
+    ("time", r"9-9-9[^ |\]]*(?: 9:9:9[^ |\]]*)?(?: [+-]9)?", rf"(?P<time>{_DATE})"),
+    ("boxed", r"\[a\]|<a>|\(a\)", r"[\[<(]NAME[\]>)]"),
+    ("other", r"\[[^\]]*\]|<[^>]*>", r"(?:\[[^\]]*\]|<[^>]*>)"),
+    ("name", r"a(?:[.-]a)*", "NAME"),
+    ("number", r"9", r"\d+"),
+]
+_BETWEEN = re.compile(r" - | ?\| ?|:: ?|: |, | |(?=\[|<)")
+
+
+def infer(signature: str) -> str:
+    """Expressions for a head that a signature shows, one per line; '' if it shows none.
+
+    The head's first fields are read off the signature. One word in brackets, or between bars, or behind a time may be
+    the level, one other name the component, and the message begins behind the later of both. Which word it is can't be
+    seen from shapes: the expressions are tried in order, and one holds for a line if its level is one.
+    """
+    fields, at = [], 0
+    while len(fields) < 6:
+        kind, seen, text = next(((k, m, t) for k, p, t in _HEAD_FIELDS if (m := re.match(p, signature[at:]))), ("", None, ""))
+        if seen is None:
+            break
+        sep = _BETWEEN.match(signature, at + seen.end())
+        if sep is None:
+            break
+        fields.append((kind, text, sep.group()))
+        at = sep.end()
+    timed, out = any(k == "time" for k, _, _ in fields), []
+    for i, (level, _, after_level) in enumerate(fields):
+        barred = "|" in after_level or (i > 0 and "|" in fields[i - 1][2])
+        if level != "boxed" and not (level == "name" and (barred or timed)):
+            continue
+        for j in sorted(range(len(fields)), key=lambda j: (abs(j - i), -j)):
+            last = max(i, j)
+            closed = fields[last][2].strip() != "" or fields[last][0] == "boxed"
+            if j == i or fields[j][0] not in ("name", "boxed") or not closed or abs(j - i) > 2:
+                continue
+            line = "^"
+            for k, (_, text, sep) in enumerate(fields[: last + 1]):
+                name = r"(?P<level>\w+)" if k == i else r"(?P<component>[\w.-]*\w)" if k == j else r"[\w.-]+"
+                line += text.replace("NAME", name) + (rf"[ \t]*{re.escape(sep.strip())}[ \t]*" if sep.strip() else r"[ \t]*" if sep == "" else r"[ \t]+")
+            out.append(line + r"(?P<message>.*)$")
+    return "\n".join(out)
+
+
 def resolve(signature: str) -> str:
-    """The extraction rule of a signature; '' where the line is all message."""
-    return next((name for name, (form, _) in RULES.items() if re.match(form, signature)), "")
+    """The extraction rule of a signature: a form known by name, or inferred expressions; '' where the line is all message."""
+    return next((name for name, (form, _) in RULES.items() if re.match(form, signature)), "") or infer(signature)
 
 
 def first_lines(content: pa.Array) -> pa.Array:
@@ -117,6 +167,12 @@ def _json(lines: pa.Array) -> list[pa.Array]:
     return [pa.array(list(c), pa.string()) for c in zip(*rows)]
 
 
+def _extracted(lines: pa.Array, pattern: str) -> list[pa.Array]:
+    found = pc.extract_regex(lines, pattern)
+    names = [found.type.field(i).name for i in range(found.type.num_fields)]
+    return [pc.struct_field(found, n) if n in names else pa.nulls(len(lines), pa.string()) for n in FIELDS]
+
+
 def take_apart(rule: str, lines: pa.Array) -> list[pa.Array]:
     """Time, level, component and message of lines of one rule; null where a line hasn't got them."""
     if rule == "json":
@@ -124,10 +180,14 @@ def take_apart(rule: str, lines: pa.Array) -> list[pa.Array]:
     elif rule == "pairs":
         unquoted = pc.replace_substring_regex(lines, r'"[^"]*"', '""')
         parts = [_pair(lines, unquoted, keys) for keys in (TIME_KEYS, LEVEL_KEYS, COMPONENT_KEYS, MESSAGE_KEYS)]
+    elif rule in RULES:
+        parts = _extracted(lines, RULES[rule][1])
     elif rule:
-        found = pc.extract_regex(lines, RULES[rule][1])
-        names = [found.type.field(i).name for i in range(found.type.num_fields)]
-        parts = [pc.struct_field(found, n) if n in names else pa.nulls(len(lines), pa.string()) for n in FIELDS]
+        parts = [pa.nulls(len(lines), pa.string())] * 4
+        for pattern in rule.split("\n"):
+            new = _extracted(lines, pattern)
+            better = pc.and_(pc.is_null(parts[1]), pc.is_in(pc.utf8_upper(new[1]), value_set=_SPELLINGS))
+            parts = [pc.if_else(better, a, b) for a, b in zip(new, parts)]
     else:
         parts = [pa.nulls(len(lines), pa.string())] * 4
     if rule in ("json", "pairs"):
@@ -208,20 +268,24 @@ def parse_lines(df: DataFrame, order: str = "lineid", time: str = "time", conten
 
 def log_entries(df: DataFrame, order: str = "lineid", time: str = "time", content: str = "content") -> DataFrame:
     """Entries: lineid, lineid_last, ts_text, level, component, message. See the module's text for odd cases."""
-    top = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    low, high = (int(top["a"]), int(top["b"])) if top["a"] is not None else (0, 0)
-    bits = max(LEAST_BLOCK_BITS, math.ceil(math.log2(max(1, (high - low) / MAX_BLOCKS))))
-    block = F.shiftright(F.col("lineid") - low, bits)
-    rows = parse_lines(df, order, time, content).distinct()
-    # where each block of line numbers gets its first rows' entry from: at most MAX_BLOCKS rows, whatever the log
+    # parsed once and written: blocks are read from it first, then the rows
+    rows = materialise(parse_lines(df, order, time, content).withColumn("block", F.shiftright("lineid", BLOCK_BITS)))
     began = F.when(F.col("starts"), F.col("lineid"))
-    blocks = rows.groupBy(block.alias("block")).agg(F.min(began).alias("first_start"), F.max(began).alias("last_start"), F.min("lineid").alias("first_row"))
-    w = Window.orderBy("block")
-    blocks = blocks.select("block", "first_start", F.last("last_start", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.min("first_row").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("very_first"))
-    x = rows.withColumn("block", block).join(F.broadcast(blocks), "block")
-    ahead = F.coalesce("carried", "very_first")
+    blocks = rows.groupBy("block").agg(F.min(began).alias("first_start"), F.max(began).alias("last_start"), F.min("lineid").alias("first_row"))
+    blocks = materialise(blocks)
+    n_blocks, very_first = blocks.agg(F.count(F.lit(1)), F.min("first_row")).first()
+    # the latest entry that began before a block: asked at odd numbers, told at even ones behind the block
+    told = blocks.select(F.lit(0).alias("all"), (2 * F.col("block") + 2).alias("at"), F.col("last_start").alias("start"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("first_start"))
+    asked = blocks.select(F.lit(0).alias("all"), (2 * F.col("block") + 1).alias("at"), F.lit(None).cast("long").alias("start"), "block", "first_start")
+    ahead = carried(told.unionByName(asked), "all", "at", F.col("start"), "carried").where("block IS NOT NULL")
+    ahead = ahead.select("block", "first_start", F.coalesce("carried", F.lit(very_first).cast("long")).alias("ahead"))
+    x = join_counted(rows, ahead, ["block"], rows=n_blocks)
+    # rows before their block's first entry go where the entry ahead of them is
     early = F.coalesce(F.col("lineid") < F.col("first_start"), F.lit(True))
-    x = x.select("lineid", "starts", "ts", "level", "component", "message", F.when(early, ahead).alias("ahead"), F.when(early, F.shiftright(ahead - low, bits)).otherwise(F.col("block")).alias("route"))
+    x = x.select("lineid", "starts", "ts", "level", "component", "message", F.when(early, F.col("ahead")).alias("ahead"), F.when(early, F.shiftright("ahead", BLOCK_BITS)).otherwise(F.col("block")).alias("route"))
+    parts = math.ceil(n_blocks / TASK_BLOCKS)
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        x = x.repartition(parts, "route")
     w = Window.partitionBy("route").orderBy("lineid", F.desc("starts"), F.desc("ts"), F.desc("message"), F.desc("level"), F.desc("component"))
     x = x.select(
         "route", "lineid", "starts", "ts", "level", "component", "message", F.lag("lineid").over(w).alias("before"),
