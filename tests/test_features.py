@@ -24,3 +24,16 @@ def test_counts_last_and_totals(spark):
 def test_empty(spark):
     library = spark.createDataFrame([("aa",)], "eventid string")
     assert event_features(spark.createDataFrame([], SCHEMA), library, "session_id").count() == 0
+
+
+def test_many_types_in_groups(spark):
+    types = [f"t{i:03d}" for i in range(50)]
+    rows = [(s, 1, 1000 * s + i, types[(7 * i + s) % 50] if i % 4 else None, "x" * (i % 5), i % 2, "?") for s in range(5) for i in range(90)]
+    library = spark.createDataFrame([(t,) for t in types], "eventid string")
+    got = {r["session_id"]: r for r in event_features(spark.createDataFrame(rows, SCHEMA), library, "session_id").collect()}
+    for s in range(5):
+        mine = [r for r in rows if r[0] == s]
+        assert (got[s]["records"], got[s]["events"], got[s]["chars"]) == (90, sum(r[3] is not None for r in mine), sum(len(r[4]) for r in mine))
+        for t in types:
+            of = [r for r in mine if r[3] == t]
+            assert (got[s][f"n_{t}"], got[s][f"last_{t}"], got[s][f"chars_{t}"]) == (len(of), max((r[2] for r in of), default=None), sum(len(r[4]) for r in of))

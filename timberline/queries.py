@@ -145,6 +145,28 @@ for _entity, _name in (("session_id", "p4_session_cells"), ("file_id", "p4_file_
     FROM rec WHERE eventid IN (SELECT eventid FROM template_lib) GROUP BY ALL"""
 
 
+def _totals(entity: str) -> Query:
+    """Totals over all records, and how many types are counted 0 and have no last line."""
+
+    def f(spark: SparkSession, folder: str) -> DataFrame:
+        library = table(spark, folder, "template_lib")
+        wide, types = features.event_features(log_records(spark, folder), library, entity), features.event_types(library)
+        none = F.size(F.filter(F.array(*[F.col(f"n_{t}") for t in types]), lambda n: n == 0))
+        unseen = F.size(F.filter(F.array(*[F.col(f"last_{t}") for t in types]), lambda n: n.isNull()))
+        empty = F.size(F.filter(F.array(*[F.col(f"chars_{t}") for t in types]), lambda n: n.isNull()))
+        return wide.select(entity, "records", "events", "last_line", "chars", "abnormal", none.alias("types_none"), unseen.alias("types_unseen"), empty.alias("null_totals"))
+
+    return f
+
+
+for _entity, _name in (("session_id", "p4_session_totals"), ("file_id", "p4_file_totals")):
+    _QUERIES[_name] = _totals(_entity)
+    _SQL[_name] = f"""WITH {_REC}, lib AS (SELECT DISTINCT eventid FROM template_lib WHERE trim(eventid) <> '')
+    SELECT {_entity}, count(*) AS records, count(lib.eventid) AS events, max(lineid) AS last_line, CAST(sum(coalesce(length(content), 0)) AS BIGINT) AS chars, CAST(sum(coalesce(label, 0)) AS BIGINT) AS abnormal,
+      ((SELECT count(*) FROM lib) - count(DISTINCT lib.eventid))::INT AS types_none, ((SELECT count(*) FROM lib) - count(DISTINCT lib.eventid))::INT AS types_unseen, 0 AS null_totals
+    FROM rec LEFT JOIN lib USING (eventid) WHERE {_entity} IS NOT NULL GROUP BY {_entity}"""
+
+
 # ---- sources
 
 

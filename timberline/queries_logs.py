@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from timberline.logtypes import CM, FTP, cm
 from timberline.logtypes.base import CTIME, IPV4, IPV6, MAC, SNMP_MIB
-from timberline.operators import heads, normalise, rules, wash
+from timberline.operators import heads, mining, normalise, rules, wash
 from timberline.functions import text
 from timberline.plans.shared import join_counted
 from timberline.plans.tables import table
@@ -327,3 +327,50 @@ UNION ALL SELECT file_id, line_no, '0', out FROM st WHERE k > 0 AND out IS NOT N
 def q_repair_torn(spark: SparkSession, folder: str) -> DataFrame:
     """Records torn by concurrent writers put together again, a session as a file."""
     return heads.repair_torn(torn_records(spark, folder), table(spark, folder, "template_lib"), CM)
+
+
+# ---- mining of lines that are made of templates
+
+_SHOWN = ["{n}", "unit{n}", "10.1.{n}.7", "part_{n}.dat", "0x{n}f"]
+
+
+#: Templates that differ in blanks or letter case only are one: else their lines can't be told apart.
+_PLAIN = "regexp_replace(trim(lower(eventtemplate), ' '), ' +', ' ', 'g')"
+_MADE_OF = f"{_REC}, made AS (SELECT lineid, {_PLAIN} AS eventtemplate FROM rec WHERE eventid IS NOT NULL AND eventtemplate IS NOT NULL)"
+
+
+def _plain(template: str) -> Column:
+    return F.regexp_replace(F.trim(F.lower(template)), " +", " ")
+
+
+def _filled_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Two lines for each record, made of its template with words for the wildcards: line_no, lineid, content."""
+    x = records(spark, folder).where("eventid IS NOT NULL AND eventtemplate IS NOT NULL").select("lineid", _plain("eventtemplate").alias("t"))
+    x = x.withColumn("line_no", F.explode(F.array(2 * F.col("lineid"), 2 * F.col("lineid") + 1)))
+    n = F.col("line_no")
+    shown = lambda i: F.replace(F.element_at(_strings(_SHOWN), ((i + F.crc32("t")) % len(_SHOWN) + 1).cast("int")), F.lit("{n}"), ((n * 7 + i * 31) % 251).cast("string"))
+    return x.select("line_no", "lineid", F.array_join(F.transform(F.split("t", " "), lambda w, i: F.when(w == "<*>", shown(i)).otherwise(w)), " ").alias("content"))
+
+
+@query(f"WITH {_MADE_OF} SELECT md5(eventtemplate)[1:8] AS eventidold, md5(eventtemplate)[1:8] AS eventid, eventtemplate, 2 * count(*) AS occurrences FROM made GROUP BY ALL")
+def q_mining_known(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines made of templates, mined with a library of them: every line is given its template again."""
+    log = records(spark, folder).where("eventtemplate IS NOT NULL").select(_plain("eventtemplate").alias("eventtemplate"))
+    library = table(spark, folder, "template_lib").select(_plain("eventtemplate").alias("eventtemplate")).union(log).distinct()
+    library = library.withColumn("eventid", text.template_id(F.col("eventtemplate")))
+    return mining.mine(_filled_records(spark, folder), FTP, library, "line_no")[1].where("occurrences > 0")
+
+
+@query(f"WITH {_MADE_OF} SELECT '0' AS eventidold, md5(eventtemplate)[1:8] AS eventid, eventtemplate, 2 * count(*) AS occurrences FROM made GROUP BY ALL")
+def q_mining_anew(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lines mined without a library: the templates they are made of are found again, with their records."""
+    return mining.mine(_filled_records(spark, folder), FTP, order="line_no")[1]
+
+
+@query(f"WITH {_MADE_OF} SELECT lineid, md5(eventtemplate)[1:8] AS eventid, eventtemplate, 2::BIGINT AS lines FROM made")
+def q_mining_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with the final templates of their clusters, and how many lines of each record have it."""
+    x = _filled_records(spark, folder)
+    assigned, _ = mining.mine(x, FTP, order="line_no")
+    x = mining.structured(x.select("lineid", "content"), FTP, assigned)
+    return x.groupBy("lineid", "eventid", "eventtemplate").agg(F.count(F.lit(1)).alias("lines"))
