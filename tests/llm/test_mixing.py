@@ -49,6 +49,15 @@ def test_long_documents_are_fitted_exactly():
     assert _sum(mixing.fit_budget({6: 10**9, 10: 10**9, 14: 3}, 10**9 + 1)) == 10**9
 
 
+def test_no_length_is_favoured():
+    counts = {n: 1 + n % 3 for n in range(1, 2000)}
+    taken = mixing.fit_budget(counts, _sum(counts) // 10)
+    assert _sum(taken) == _sum(counts) // 10
+    for a in range(1, 2000, 200):
+        part = range(a, min(a + 200, 2000))
+        assert abs(sum(taken.get(n, 0) for n in part) - sum(counts[n] for n in part) / 10) < 6
+
+
 SCHEMA = "doc_id long, source string, text string, times int"
 GOAL = "source string, target_share double, max_repeat int"
 

@@ -83,8 +83,8 @@ def subset_sum(counts: dict[int, int], taken: dict[int, int], gap: int, reach: i
 def fit_budget(counts: dict[int, int], budget: int, start: int = REACH) -> dict[int, int]:
     """How many documents of each length to draw so that their tokens are the largest sum of at most ``budget``.
 
-    An even share of each length comes first, and what still fits; dynamic programming changes that by what is
-    missing. The result is the best there is: either nothing is missing (of the multiples of the lengths' common
+    An even share of each length comes first, and a few documents that still fit; dynamic programming changes that by
+    what is missing. The result is the best there is: either nothing is missing (of the multiples of the lengths' common
     divisor), or the differences looked at reach L * L for the greatest length L. No more is ever needed: order the
     documents that a nearest best choice adds and takes away so that their running sum stays within L of 0; were they
     2 L or more, a sum would occur twice and what lies between could be left out, so they are fewer, and neither
@@ -94,7 +94,11 @@ def fit_budget(counts: dict[int, int], budget: int, start: int = REACH) -> dict[
     whole = sum(n * c for n, c in counts.items())
     if budget >= whole or not counts:
         return dict(counts)
-    taken = {n: c * max(0, budget) // whole for n, c in counts.items()}
+    # shares of documents are rounded so that what one length loses the next gains: no length is favoured. The sum of tokens
+    # then differs by less than the longest document
+    even, carry, taken = max(0, budget - max(counts)), 0, {}
+    for n, c in sorted(counts.items()):
+        taken[n], carry = divmod(carry + c * even, whole)
     gap = max(0, budget) - sum(n * c for n, c in taken.items())
     for n in sorted(counts, reverse=True):
         more = min(counts[n] - taken[n], gap // n)
