@@ -31,9 +31,10 @@ from timberline.plans.shared import join_counted, materialise, ship
 #: Rows of the signature table at most, and their length.
 MAX_SIGNATURES = 20_000
 MAX_SIGNATURE_LENGTH = 300
-#: Blocks of 2**BLOCK_BITS line numbers, and how many of them one task gets at most, on average.
+#: Blocks of 2**BLOCK_BITS line numbers, how many of them one task gets on average, and tasks at most (then larger ones).
 BLOCK_BITS = 14
-TASK_BLOCKS = 24
+TASK_BLOCKS = 8
+MAX_TASKS = 50_000
 
 #: Spellings of the levels.
 LEVELS = {
@@ -283,7 +284,7 @@ def log_entries(df: DataFrame, order: str = "lineid", time: str = "time", conten
     # rows before their block's first entry go where the entry ahead of them is
     early = F.coalesce(F.col("lineid") < F.col("first_start"), F.lit(True))
     x = x.select("lineid", "starts", "ts", "level", "component", "message", F.when(early, F.col("ahead")).alias("ahead"), F.when(early, F.shiftright("ahead", BLOCK_BITS)).otherwise(F.col("block")).alias("route"))
-    parts = math.ceil(n_blocks / TASK_BLOCKS)
+    parts = min(MAX_TASKS, math.ceil(n_blocks / TASK_BLOCKS))
     if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         x = x.repartition(parts, "route")
     w = Window.partitionBy("route").orderBy("lineid", F.desc("starts"), F.desc("ts"), F.desc("message"), F.desc("level"), F.desc("component"))
