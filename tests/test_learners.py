@@ -108,3 +108,13 @@ def test_tools(spark, tmp_path):
     vocabulary = spark.createDataFrame([("e", 0), ("0", 1), ("0", 2)], "eventid string, idx int")
     writers.write_matrix(x, vocabulary, str(tmp_path / "m"))
     assert spark.read.csv(str(tmp_path / "m"), header=True).first().asDict() == {"e": "2.0", "0": "0.0", "0_2": "0.0", "label": "1"}
+
+
+def test_plane(spark):
+    from timberline.models import estimators
+
+    cells = spark.createDataFrame([(i, i % 2, float(1 + i)) for i in range(20)], "k int, idx int, n double")
+    p = {r["k"]: (r["x"], r["y"]) for r in estimators.plane(matrix.vectors(cells, cells.select("k"), ["k"], 2), ["k"]).collect()}
+    d = lambda a, b: sum((u - v) ** 2 for u, v in zip(p[a], p[b])) ** 0.5
+    # two dimensions turned: distances stay
+    assert abs(d(0, 2) - 2) < 1e-6 and abs(d(0, 1) - 5**0.5) < 1e-6

@@ -77,3 +77,11 @@ def network_ranks(model: Model, sequences: DataFrame, k: int) -> DataFrame:
     before = F.filter("_p", lambda v, i: (v > mine) | ((v == mine) & (i < F.col("target"))))
     x = x.withColumn("rank", F.size(before) + 1).withColumn("anomalous", (F.col("rank") > k).cast("int"))
     return x.drop("_p", "features", "rawPrediction", "probability", "prediction")
+
+
+def plane(vectors: DataFrame, key: list[str]) -> DataFrame:
+    """key, x, y: the two principal components of each row's features, for a look at how samples lie."""
+    from pyspark.ml.feature import PCA
+
+    x = PCA(k=2, inputCol="features", outputCol="_plane").fit(vectors).transform(vectors).withColumn("_plane", vector_to_array("_plane"))
+    return x.select(*key, F.col("_plane")[0].alias("x"), F.col("_plane")[1].alias("y"))

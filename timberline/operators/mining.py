@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,46 +44,52 @@ class Cluster:
             self.need = min(1.0, self.first + GROWTH * math.log(self.changes + 1, self.base))
 
 
-def likeness(template: list[str], words: list[str], special: list[re.Pattern]) -> tuple[float, int]:
-    """Share of the template's constants that agree, and its wildcards; (0, 0) if they can't be the same.
-
-    They can't if the first words differ, a constant differs next to another difference, or a word of special form
-    meets another.
-    """
-    if template[0] != words[0]:
-        return 0.0, 0
-    equal, wild = 0, 0
-    differed = after_wild = False  # the word before differed; it was a wildcard
-    for a, b in zip(template, words):
-        if a == WILDCARD:
-            if differed and not after_wild:
-                return 0.0, 0
-            wild += 1
-            differed, after_wild = b != WILDCARD, True
-            continue
-        if a == b:
-            equal += 1
-            differed = False
-        elif differed:
-            return 0.0, 0
-        else:
-            differed = True
-            if any(p.fullmatch(a) or p.fullmatch(b) for p in special):
-                return 0.0, 0
-        after_wild = False
-    constants = len(template) - wild
-    if constants == 0:
-        return (1.0 if len(template) == 1 and words[0][:1].isdigit() else 0.0), wild
-    return equal / constants, wild
+class Leaf:
+    """Clusters that a record of one key and leaf may join, with their words as numbers: all are looked at at once."""
+
+    def __init__(self, size: int) -> None:
+        self.clusters: list[Cluster] = []
+        self.words = np.zeros((4, size), "int32")
+        self.special = np.zeros((4, size), bool)
+
+    def add(self, c: Cluster) -> None:
+        k = len(self.clusters)
+        if k == len(self.words):
+            self.words, self.special = np.vstack([self.words, self.words]), np.vstack([self.special, self.special])
+        self.clusters.append(c)
+
+    def likeness(self, r: np.ndarray, special: Callable[[], np.ndarray], number: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Per cluster the share of its constants that agree with the record, and its wildcards; 0 and 0 if they can't be the same.
+
+        They can't if a constant differs next to another difference or before a wildcard, or a word of special form
+        meets another. First words agree, as they are part of the key. Word 0 is the wildcard.
+        """
+        t = self.words[: len(self.clusters)]
+        wild, other = t == 0, t != r
+        differs = other & ~wild
+        wilds = wild.sum(1)
+        constants = t.shape[1] - wilds
+        agree = constants - differs.sum(1)
+        never = np.zeros(len(t), bool)
+        if differs.any():
+            never = (differs[:, 1:] & other[:, :-1]).any(1) | (differs[:, :-1] & wild[:, 1:]).any(1)
+            never |= (differs & (self.special[: len(t)] | special())).any(1)
+        share = agree / np.maximum(constants, 1)
+        if number and t.shape[1] == 1:
+            share[constants == 0] = 1.0
+        share[never], wilds[never] = 0.0, 0
+        return share, wilds
 
 
 class Miner:
     """Clusters of one key."""
 
     def __init__(self, special: list[str]) -> None:
-        self.special = [re.compile(p) for p in special]
-        self.leaves: dict[str, list[Cluster]] = {}
+        self.forms = [re.compile(p) for p in special]
+        self.leaves: dict[str, Leaf] = {}
         self.all: list[Cluster] = []
+        #: Words of templates by number; words of records that no template has are -1.
+        self.numbers = {WILDCARD: 0}
 
     @staticmethod
     def leaf(words: list[str]) -> str:
@@ -91,25 +98,43 @@ class Miner:
             return words[0]
         return WILDCARD if words[-1][:1].isdigit() else words[-1]
 
-    def find(self, words: list[str]) -> Cluster | None:
-        best, like, wild = None, -1.0, -1
-        for c in self.leaves.get(self.leaf(words), ()):
-            s, w = likeness(c.words, words, self.special)
-            if s > like or (s == like and w > wild):
-                best, like, wild = c, s, w
-        return best if best is not None and like >= best.need else None
+    def special(self, words: list[str]) -> np.ndarray:
+        return np.array([any(p.fullmatch(w) for p in self.forms) for w in words], bool)
+
+    def find(self, words: list[str]) -> tuple[Leaf, int] | None:
+        leaf = self.leaves.get(self.leaf(words))
+        if leaf is None:
+            return None
+        r = np.array([self.numbers.get(w, -1) for w in words], "int32")
+        share, wilds = leaf.likeness(r, lambda: self.special(words), words[0][:1].isdigit())
+        # the most alike, of these the one with most wildcards, of these the first
+        best = np.flatnonzero(share == share.max())
+        k = int(best[np.argmax(wilds[best])])
+        return (leaf, k) if share[k] >= leaf.clusters[k].need else None
+
+    def place(self, leaf: Leaf, k: int) -> None:
+        words = leaf.clusters[k].words
+        leaf.words[k] = [self.numbers.setdefault(w, len(self.numbers)) for w in words]
+        leaf.special[k] = self.special(words)
 
     def add(self, words: list[str], old: str = "0") -> Cluster:
         c = Cluster(words, len(self.all), old)
         self.all.append(c)
-        self.leaves.setdefault(self.leaf(words), []).append(c)
+        leaf = self.leaves.setdefault(self.leaf(words), Leaf(len(words)))
+        leaf.add(c)
+        self.place(leaf, len(leaf.clusters) - 1)
         return c
 
     def take(self, words: list[str]) -> Cluster:
-        c = self.find(words)
-        if c is None:
+        found = self.find(words)
+        if found is None:
             return self.add(words)
+        leaf, k = found
+        c = leaf.clusters[k]
+        changes = c.changes
         c.absorb(words)
+        if c.changes != changes:
+            self.place(leaf, k)
         return c
 
 

@@ -19,6 +19,7 @@ from timberline.logtypes.ftp import common_response
 from timberline.models import bayes, scores
 from timberline.operators import context, features, heads, layouts, matrix, mining, normalise, rules, sequences, tools, vocabulary, wash, windows
 from timberline.operators.rules import Context, Rule, RuleBook
+from timberline.plans.shared import materialise
 from timberline.plans.tables import log_records, table
 from timberline.sources import readers
 
@@ -460,8 +461,8 @@ def q_sliding_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _windows(spark, folder)
 
 
-def _members(spark: SparkSession, folder: str) -> DataFrame:
-    return windows.window_records(timed(spark, folder), _windows(spark, folder), "user_id", "t", SPAN)
+def _members(spark: SparkSession, folder: str, w: DataFrame | None = None) -> DataFrame:
+    return windows.window_records(timed(spark, folder), _windows(spark, folder) if w is None else w, "user_id", "t", SPAN)
 
 
 @query(f"WITH RECURSIVE {_MEMBERS} SELECT user_id, window_no, max(label) AS label, count(*) AS records FROM members GROUP BY ALL")
@@ -469,17 +470,15 @@ def q_window_labels(spark: SparkSession, folder: str) -> DataFrame:
     return windows.window_labels(_members(spark, folder), "user_id", "label")
 
 
-def _cells(spark: SparkSession, folder: str) -> DataFrame:
-    return matrix.count_matrix(_members(spark, folder), ["user_id", "window_no"], "event_type")
+def _cells(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """The cells, and the number of windows; windows and cells are written once, as several steps read them."""
+    w = materialise(_windows(spark, folder))
+    return materialise(matrix.count_matrix(_members(spark, folder, w), ["user_id", "window_no"], "event_type")), w.count()
 
 
 @query(f"WITH RECURSIVE {_CELLS} SELECT * FROM cells")
 def q_ecm(spark: SparkSession, folder: str) -> DataFrame:
-    return _cells(spark, folder)
-
-
-def _idf(spark: SparkSession, folder: str) -> DataFrame:
-    return matrix.idf(_cells(spark, folder), _windows(spark, folder).count(), "event_type")
+    return matrix.count_matrix(_members(spark, folder), ["user_id", "window_no"], "event_type")
 
 
 _IDF = "idf AS (SELECT event_type, count(*) AS df, ln(any_value(n_windows) / (count(*) + 1e-8)) AS idf FROM cells, total GROUP BY event_type)"
@@ -487,25 +486,26 @@ _IDF = "idf AS (SELECT event_type, count(*) AS df, ln(any_value(n_windows) / (co
 
 @query(f"WITH RECURSIVE {_CELLS}, {_IDF} SELECT event_type, df, round(idf, 6) AS idf FROM idf")
 def q_idf(spark: SparkSession, folder: str) -> DataFrame:
-    return _idf(spark, folder).withColumn("idf", F.round("idf", 6))
+    return matrix.idf(*_cells(spark, folder), "event_type").withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH RECURSIVE {_CELLS}, {_IDF} SELECT user_id, window_no, event_type, round(n * idf, 6) AS value FROM cells JOIN idf USING (event_type)")
 def q_tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    x = matrix.tf_idf(_cells(spark, folder), _idf(spark, folder), "event_type")
+    cells, n = _cells(spark, folder)
+    x = matrix.tf_idf(cells, matrix.idf(cells, n, "event_type"), "event_type")
     return x.select("user_id", "window_no", "event_type", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH RECURSIVE {_CELLS}, m AS (SELECT event_type, sum(n) / any_value(n_windows) AS mean FROM cells, total GROUP BY event_type)
 SELECT user_id, window_no, event_type, round(n - mean, 6) AS centred FROM cells JOIN m USING (event_type)""")
 def q_zero_mean(spark: SparkSession, folder: str) -> DataFrame:
-    x = matrix.zero_mean(_cells(spark, folder), _windows(spark, folder).count(), "event_type")
+    x = matrix.zero_mean(*_cells(spark, folder), "event_type")
     return x.select("user_id", "window_no", "event_type", F.round("centred", 6).alias("centred"))
 
 
 @query(f"WITH RECURSIVE {_CELLS} SELECT user_id, window_no, event_type, round(1 / (1 + exp(-n)), 6) AS squashed FROM cells")
 def q_sigmoid(spark: SparkSession, folder: str) -> DataFrame:
-    return matrix.sigmoid(_cells(spark, folder)).select("user_id", "window_no", "event_type", F.round("squashed", 6).alias("squashed"))
+    return matrix.sigmoid(_cells(spark, folder)[0]).select("user_id", "window_no", "event_type", F.round("squashed", 6).alias("squashed"))
 
 
 @query(f"WITH RECURSIVE {_MEMBERS} SELECT user_id, window_no, start_t, end_t FROM chain SEMI JOIN (SELECT user_id, window_no FROM members GROUP BY ALL HAVING max(label) = 1) USING (user_id, window_no)")
@@ -647,7 +647,7 @@ def q_topk_classes(spark: SparkSession, folder: str) -> DataFrame:
     from timberline.models.estimators import top_classes
 
     files = table(spark, folder, "log_files").where("class_label <> ''").select("file_id", "class_label")
-    c = records(spark, folder).where("eventid IS NOT NULL").join(F.broadcast(files), "file_id").groupBy("eventid", "class_label").agg(F.count(F.lit(1)).alias("n"))
+    c = records(spark, folder).where("eventid IS NOT NULL").join(files, "file_id").groupBy("eventid", "class_label").agg(F.count(F.lit(1)).alias("n"))
     p = c.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy("eventid"))).withColumn("class_index", F.col("class_label"))
     x = top_classes(p, ["eventid"], 3).join(F.broadcast(table(spark, folder, "classes_loglab")), "class_label", "left")
     return x.select("eventid", "class_label", F.round("probability", 6).alias("probability"), "rank", "class_desc")

@@ -39,7 +39,8 @@ def washed(lines: DataFrame, log: LogType) -> DataFrame:
 def joined(lines: DataFrame, quiet_ms: int = 60_000) -> DataFrame:
     """Records of washed lines: a file's open record is its state, and leaves when the next one begins.
 
-    A record also leaves when its file was quiet for so long; nested lines that come later are lost to it. Lines of a
+    A record also leaves when its file was quiet for so long. Nested lines that come later still are its own: they leave as
+    one more row of the same line_no (all rows of a line_no in their order are the record), so no line is lost. Lines of a
     file must arrive in order over batches; within a batch they are sorted.
     """
     ship(lines.sparkSession)
@@ -47,22 +48,25 @@ def joined(lines: DataFrame, quiet_ms: int = 60_000) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cols = ["file_id", "line_no", "ts_text", "lines", "content"]
         if state.hasTimedOut:
-            rows = [(key[0], *state.get)]
-            state.remove()
-            yield pd.DataFrame(rows, columns=cols)
+            no, ts, n, content = state.get
+            # what has left stays known by its number, without text
+            state.update((no, ts, 0, None))
+            yield pd.DataFrame([(key[0], no, ts, n, content)] if n else [], columns=cols)
             return
         held, out = (tuple(state.get) if state.exists else None), []
         for no, ts, body in pd.concat(list(batches)).sort_values("line_no")[["line_no", "ts_text", "body"]].itertuples(index=False):
             if body[:1] in (" ", "\t"):
                 if held:
-                    held = (held[0], held[1], held[2] + 1, f"{held[3].rstrip(' ')}, {body.strip()}")
+                    text = f"{held[3].rstrip(' ')}, {body.strip()}" if held[2] else body.strip()
+                    held = (held[0], held[1], held[2] + 1, text)
                 continue
-            if held:
+            if held and held[2]:
                 out.append((key[0], *held))
             held = (int(no), ts, 1, body)
         if held:
             state.update(held)
-            state.setTimeoutDuration(quiet_ms)
+            if held[2]:
+                state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame(out, columns=cols)
 
     return lines.select("file_id", "line_no", "ts_text", "body").groupBy("file_id").applyInPandasWithState(step, JOINED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
