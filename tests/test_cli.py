@@ -29,7 +29,7 @@ def test_commands(spark, tmp_path, capsys):
         args = ["diagnose", logs, "--out", str(tmp_path / f"d{phase}"), "--library", lib, "--phase", phase, "--model-dir", str(tmp_path / "m2"), "--model", "logistic_multi"]
         assert cli.main([*own, *args, "--rules", str(tmp_path / "kb.yaml"), "--classes", str(tmp_path / "classes.yaml")], spark) == 0
     best = spark.read.csv(str(tmp_path / "dpredict"), header=True).where("rank = 1")
-    assert {r["class_label"] for r in best.collect()} == {"c002"}
+    assert sorted((r["sample_id"], r["class_label"]) for r in best.collect()) == [("0", "c001"), ("1", "c001"), ("2", "c002"), ("3", "c002")]
     assert spark.read.csv(str(tmp_path / "qpredict"), header=True).count() > 0
     rules, out = ["--rules", str(tmp_path / "kb.yaml")], lambda n: str(tmp_path / n)
     assert cli.main(["diagnose", logs, "--out", out("f"), "--library", lib, "--model-dir", out("m3"), "--feat", *rules], spark) == 0

@@ -92,7 +92,7 @@ def test_copies_that_differ(spark):
 
 
 def test_entries_over_blocks(spark):
-    n = 1 << layouts.LEAST_BLOCK_BITS
+    n = 1 << layouts.BLOCK_BITS
     rows = [(n - 2, TS, "Info: A:: a")] + [(i, None, f"t{i}") for i in (n - 1, n, n + 1, 3 * n)] + [(3 * n + 1, TS, "Info: B:: b"), (4 * n, None, "u")]
     r = run(spark, rows)
     assert r[n - 2]["message"] == f"a, t{n - 1}, t{n}, t{n + 1}, t{3 * n}" and r[n - 2]["lineid_last"] == 3 * n

@@ -69,10 +69,15 @@ def test_nested_lines_after_quiet_are_kept(spark, tmp_path):
     src, out, here = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
     schema = "file_id int, line_no long, ts_text string, body string"
     batches = [[(1, 1, "t", "A")], [(2, 1, "t", "X")], [(1, 2, "t", " b"), (1, 3, "t", "\tc")], [(1, 4, "t", "D")]]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        q = stream.joined(spark.readStream.schema(schema).parquet(src), quiet_ms=1).writeStream.format("parquet").outputMode("append").option("checkpointLocation", here).trigger(availableNow=True).start(out)
-        assert q.awaitTermination(90)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+            x = stream.joined(spark.readStream.schema(schema).parquet(src), quiet_ms=1)
+            q = x.writeStream.format("parquet").outputMode("append").option("checkpointLocation", here).trigger(availableNow=True).start(out)
+            assert q.awaitTermination(90)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = [(r["line_no"], r["lines"], r["content"]) for r in spark.read.parquet(out).where("file_id = 1").orderBy("line_no", "content").collect()]
     assert got in ([(1, 1, "A"), (1, 2, "b, c")], [(1, 3, "A, b, c")], [(1, 1, "A"), (1, 2, "b, c"), (4, 1, "D")], [(1, 3, "A, b, c"), (4, 1, "D")])
 

@@ -92,7 +92,8 @@ _HEAD_FIELDS = [
     ("name", r"a(?:[.-]a)*", "NAME"),
     ("number", r"9", r"\d+"),
 ]
-_BETWEEN = re.compile(r" - | ?\| ?|:: ?|: |, | |(?=\[|<)")
+#: What stands between fields; the plain tail of a signature may follow at once, with the blank before it.
+_BETWEEN = re.compile(r" - | ?\| ?|:: ?|: |:(?=~)|, | |(?=\[|<|~)")
 
 
 def infer(signature: str) -> str:
@@ -110,7 +111,7 @@ def infer(signature: str) -> str:
         sep = _BETWEEN.match(signature, at + seen.end())
         if sep is None:
             break
-        fields.append((kind, text, sep.group()))
+        fields.append((kind, text, sep.group() or signature[sep.end()]))
         at = sep.end()
     timed, out = any(k == "time" for k, _, _ in fields), []
     for i, (level, _, after_level) in enumerate(fields):
@@ -119,20 +120,21 @@ def infer(signature: str) -> str:
             continue
         for j in sorted(range(len(fields)), key=lambda j: (abs(j - i), -j)):
             last = max(i, j)
-            closed = fields[last][2].strip() != "" or fields[last][0] == "boxed"
+            closed = fields[last][2] not in " ~[<" or fields[last][0] == "boxed"
             if j == i or fields[j][0] not in ("name", "boxed") or not closed or abs(j - i) > 2:
                 continue
             line = "^"
             for k, (_, text, sep) in enumerate(fields[: last + 1]):
                 name = r"(?P<level>\w+)" if k == i else r"(?P<component>[\w.-]*\w)" if k == j else r"[\w.-]+"
-                line += text.replace("NAME", name) + (rf"[ \t]*{re.escape(sep.strip())}[ \t]*" if sep.strip() else r"[ \t]*" if sep == "" else r"[ \t]+")
+                line += text.replace("NAME", name) + (r"[ \t]*" if sep in "[<" else r"[ \t]+" if sep in " ~" else rf"[ \t]*{re.escape(sep.strip())}[ \t]*")
             out.append(line + r"(?P<message>.*)$")
     return "\n".join(out)
 
 
 def resolve(signature: str) -> str:
-    """The extraction rule of a signature: a form known by name, or inferred expressions; '' where the line is all message."""
-    return next((name for name, (form, _) in RULES.items() if re.match(form, signature)), "") or infer(signature)
+    """The extraction rule of a signature: a form known by name, then inferred expressions; '' where the line is all message."""
+    known = next((name for name, (form, _) in RULES.items() if re.match(form, signature)), "")
+    return known if known in ("json", "pairs") else "\n".join(x for x in (known, infer(signature)) if x)
 
 
 def first_lines(content: pa.Array) -> pa.Array:
@@ -181,13 +183,12 @@ def take_apart(rule: str, lines: pa.Array) -> list[pa.Array]:
     elif rule == "pairs":
         unquoted = pc.replace_substring_regex(lines, r'"[^"]*"', '""')
         parts = [_pair(lines, unquoted, keys) for keys in (TIME_KEYS, LEVEL_KEYS, COMPONENT_KEYS, MESSAGE_KEYS)]
-    elif rule in RULES:
-        parts = _extracted(lines, RULES[rule][1])
     elif rule:
-        parts = [pa.nulls(len(lines), pa.string())] * 4
-        for pattern in rule.split("\n"):
+        known, *inferred = rule.split("\n") if not rule.startswith("^") else ("", *rule.split("\n"))
+        parts = _extracted(lines, RULES[known][1]) if known else [pa.nulls(len(lines), pa.string())] * 4
+        for pattern in inferred:
             new = _extracted(lines, pattern)
-            better = pc.and_(pc.is_null(parts[1]), pc.is_in(pc.utf8_upper(new[1]), value_set=_SPELLINGS))
+            better = pc.and_(pc.is_null(parts[3]), pc.fill_null(pc.is_in(pc.utf8_upper(new[1]), value_set=_SPELLINGS), False))
             parts = [pc.if_else(better, a, b) for a, b in zip(new, parts)]
     else:
         parts = [pa.nulls(len(lines), pa.string())] * 4
