@@ -33,7 +33,7 @@ def test_commands(spark, tmp_path, capsys):
     assert spark.read.csv(str(tmp_path / "qpredict"), header=True).count() > 0
     rules, out = ["--rules", str(tmp_path / "kb.yaml")], lambda n: str(tmp_path / n)
     assert cli.main(["diagnose", logs, "--out", out("f"), "--library", lib, "--model-dir", out("m3"), "--feat", *rules], spark) == 0
-    assert spark.read.csv(out("f"), header=True).where("value > 0").count() > 0
+    assert spark.read.csv(out("f"), header=True).where("CAST(value AS DOUBLE) > 0").count() > 0
     assert cli.main([*own, "diagnose", logs, "--out", out("l"), "--library", lib, "--model-dir", out("m3"), "--leave-one-out", "--model", "logistic_multi", *rules], spark) == 0
     assert spark.read.csv(out("l"), header=True).count() == 4
     for phase in ("train", "train", "validate"):
