@@ -31,22 +31,37 @@ def test_commands(spark, tmp_path, capsys):
     best = spark.read.csv(str(tmp_path / "dpredict"), header=True).where("rank = 1")
     assert sorted((r["sample_id"], r["class_label"]) for r in best.collect()) == [("0", "c001"), ("1", "c001"), ("2", "c002"), ("3", "c002")]
     assert spark.read.csv(str(tmp_path / "qpredict"), header=True).count() > 0
-    rules, out = ["--rules", str(tmp_path / "kb.yaml")], lambda n: str(tmp_path / n)
-    assert cli.main(["diagnose", logs, "--out", out("f"), "--library", lib, "--model-dir", out("m3"), "--feat", *rules], spark) == 0
-    assert spark.read.csv(out("f"), header=True).where("CAST(value AS DOUBLE) > 0").count() > 0
-    assert cli.main([*own, "diagnose", logs, "--out", out("l"), "--library", lib, "--model-dir", out("m3"), "--leave-one-out", "--model", "logistic_multi", *rules], spark) == 0
-    assert spark.read.csv(out("l"), header=True).count() == 4
-    for phase in ("train", "train", "validate"):
-        assert cli.main([*own, "windows", logs, "--out", out("w"), "--library", lib, "--phase", phase, "--model-dir", out("m4"), "--inc", "--debug"], spark) == 0
-    r = spark.read.csv(out("w"), header=True).first()
-    assert int(r["tp"]) + int(r["fn"]) > 0 and "label" in spark.read.csv(out("w-matrix"), header=True).columns
-    assert cli.main(["find", logs, "--out", out("x"), "--library", lib, "--event", eid], spark) == 0 and spark.read.csv(out("x"), header=True).count() == 8
-    assert cli.main(["duplicates", logs, "--out", out("d"), "--library", lib], spark) == 0 and spark.read.csv(out("d"), header=True).count() > 0
+
+
+def _logs(spark, tmp_path, n=20):
+    (tmp_path / "logs" / "c001").mkdir(parents=True)
+    lines = [HEAD.format(0, i) + ("abn: Response: 550 Permission denied" if i % 10 == 9 else "Status: Connected") for i in range(n)]
+    (tmp_path / "logs" / "c001" / "x_000.txt").write_text("\n".join(lines) + "\n")
+    logs, lib = str(tmp_path / "logs"), str(tmp_path / "lib")
+    assert cli.main(["templates", logs, "--out", str(tmp_path / "s"), "--library", lib], spark) == 0
+    return logs, lib
+
+
+def test_small_commands(spark, tmp_path, capsys):
+    logs, lib = _logs(spark, tmp_path)
+    out = lambda n: str(tmp_path / n)
+    eid = spark.read.parquet(lib).where("eventtemplate LIKE 'Status%'").first()["eventid"]
+    assert cli.main(["find", logs, "--out", out("x"), "--library", lib, "--event", eid], spark) == 0 and spark.read.csv(out("x"), header=True).count() == 18
+    assert cli.main(["duplicates", logs, "--out", out("d"), "--library", lib], spark) == 0 and spark.read.csv(out("d"), header=True).count() == 0
     (tmp_path / "a.lst").write_text(str(tmp_path / "logs/c001/x_000.txt") + "\n")
     assert cli.main(["times", str(tmp_path / "a.lst"), "--list", "--out", out("t")], spark) == 0
-    assert spark.read.text(out("t")).where("value LIKE '2022-01-01 00:00:0%'").count() == 40
+    assert spark.read.text(out("t")).where("value LIKE '2022-01-01 00:00:0%'").count() == 20
     for action in ("sort", "delete"):
         assert cli.main(["library", action, "--library", lib], spark) == 0
     assert cli._library(spark, lib).count() == 0
     assert cli.main(["config", "set", "windows.step_ms=7", "--out", out("c.yaml")]) == 0 and "step_ms: 7" in (tmp_path / "c.yaml").read_text()
     assert cli.main(["info"]) == 0 and "library" in capsys.readouterr().out
+
+
+def test_windows_learn_on(spark, tmp_path):
+    logs, lib = _logs(spark, tmp_path)
+    (tmp_path / "own.yaml").write_text("template:\n  library_size: 4\n")
+    for phase in ("train", "train", "validate"):
+        assert cli.main(["--config", str(tmp_path / "own.yaml"), "windows", logs, "--out", str(tmp_path / "w"), "--library", lib, "--phase", phase, "--model-dir", str(tmp_path / "m"), "--inc"], spark) == 0
+    r = spark.read.csv(str(tmp_path / "w"), header=True).first()
+    assert int(r["tp"]) + int(r["fn"]) > 0

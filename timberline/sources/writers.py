@@ -22,10 +22,10 @@ def write_library(library: DataFrame, folder: str, version: str | None = None) -
 
 
 def latest_library(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of a template library."""
+    """The newest version of a template library, also if it is empty: versions are told by their folders."""
     x = spark.read.parquet(folder)
-    newest = x.agg(F.max(F.col("version").cast("string"))).first()[0]
-    return x.where(F.col("version").cast("string") == newest).drop("version")
+    newest = max(f.rsplit("/version=", 1)[1].split("/", 1)[0] for f in x.inputFiles())
+    return spark.read.schema(x.drop("version").schema).parquet(f"{folder}/version={newest}")
 
 
 def write_structured(df: DataFrame, path: str) -> None:
