@@ -56,12 +56,3 @@ def test_small_commands(spark, tmp_path, capsys):
     assert cli._library(spark, lib).count() == 0
     assert cli.main(["config", "set", "windows.step_ms=7", "--out", out("c.yaml")]) == 0 and "step_ms: 7" in (tmp_path / "c.yaml").read_text()
     assert cli.main(["info"]) == 0 and "library" in capsys.readouterr().out
-
-
-def test_windows_learn_on(spark, tmp_path):
-    logs, lib = _logs(spark, tmp_path)
-    (tmp_path / "own.yaml").write_text("template:\n  library_size: 4\n")
-    for phase in ("train", "train", "validate"):
-        assert cli.main(["--config", str(tmp_path / "own.yaml"), "windows", logs, "--out", str(tmp_path / "w"), "--library", lib, "--phase", phase, "--model-dir", str(tmp_path / "m"), "--inc"], spark) == 0
-    r = spark.read.csv(str(tmp_path / "w"), header=True).first()
-    assert int(r["tp"]) + int(r["fn"]) > 0
