@@ -1,9 +1,15 @@
 """Registered queries over small folders."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pandas as pd
 
 from timberline import queries
 
+REPO = Path(__file__).resolve().parents[1]
+
 
 def _folder(path, rows):
     """A data folder with only the log: lineid, time, content."""
@@ -17,3 +23,21 @@ def test_mining_covers_entries_without_a_component(spark, tmp_path):
     folder = _folder(tmp_path, [(i, t, c) for i, c in enumerate(contents)])
     got = {r["eventtemplate"]: r["occurrences"] for r in queries.q_mining(spark, folder).collect()}
     assert sum(got.values()) == len(contents) and got["spool <*> busy"] == 2
+
+
+def test_queries_are_listed_before_there_is_a_session():
+    # in a process of its own, as the session of the tests would hide a column that is made while a module is imported
+    code = """
+import importlib, pkgutil
+import __spark_entry__ as e, timberline
+for m in pkgutil.walk_packages(timberline.__path__, "timberline."):
+    if not m.name.endswith("__main__"):
+        importlib.import_module(m.name)
+from pyspark import SparkContext
+assert SparkContext._active_spark_context is None
+assert set(e.oracle_sql()) <= set(e.queries())
+print(*e.queries())
+"""
+    said = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr[-800:]
+    assert {"p3_found", "p4_sessions", "q_mining", "q_folder_files"} <= set(said.stdout.split())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.config import for_log_type
@@ -35,7 +35,11 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return records(spark, folder).select("file_id", F.col("lineid").alias("line_no"), F.translate(F.coalesce("content", F.lit("")), "\r\n", "  ").alias("value"))
 
 
-_FILE_ID = F.regexp_extract("file", r"/file_id=(\d+)/", 1).cast("int")
+def _file_id() -> Column:
+    """The file number in a path; made when called, as columns need a session and modules are imported without one."""
+    return F.regexp_extract("file", r"/file_id=(\d+)/", 1).cast("int")
+
+
 _IN_FILES = f"""{_REC}, files AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY lineid) AS line_no, {_ONE} AS "value" FROM rec)"""
 
 
@@ -45,7 +49,7 @@ def q_folder_files(spark: SparkSession, folder: str) -> DataFrame:
     out = _folder(spark)
     writers.write_files(_lines(spark, folder), out)
     x = readers.with_session_starts(readers.folder_files(spark, out, skip=("_SUCCESS",)))
-    return x.select(_FILE_ID.alias("file_id"), "line_no", "value", "session_start")
+    return x.select(_file_id().alias("file_id"), "line_no", "value", "session_start")
 
 
 @query(f"""WITH {_IN_FILES} SELECT (dense_rank() OVER (ORDER BY file_id DESC) - 1)::INT AS ordinal, line_no, "value" FROM files""")
@@ -71,7 +75,7 @@ def q_class_folders(spark: SparkSession, folder: str) -> DataFrame:
     for c in [r[0] for r in table(spark, folder, "classes_loglab").select("class_label").distinct().orderBy("class_label").collect()]:
         writers.write_files(x.where(F.col("class_label") == c), f"{out}/{c}")
     x = readers.with_classes(readers.folder_files(spark, out))
-    return x.select("class_label", "sample_no", _FILE_ID.alias("file_id"), "line_no", "value")
+    return x.select("class_label", "sample_no", _file_id().alias("file_id"), "line_no", "value")
 
 
 @query(f"""WITH {_REC} SELECT (CASE WHEN k = 0 THEN -1 ELSE file_id END)::INT AS file_id, line_no, "value" FROM (
