@@ -102,6 +102,20 @@ def test_cable_modem_scan_in_blocks_equals_one_scan(spark):
     assert got == [(i, v) for i, v in enumerate(cm.rewrite(lines, cm.START)) if v is not None]
 
 
+def test_cable_modem_scan_of_many_files_makes_no_group_of_each(spark):
+    import random
+
+    pool = [*DOWN, *UP, "Downloading LEAP image", ">>>>ChipID=0x3390", "RCC->", "MSG PDU:", "===== Read Leap AIF Status =====", "  nested", "plain", "", ""]
+    rng = random.Random(6)
+    files = {f: [(f * 7 + i * i, rng.choice(pool)) for i in range(1 + f % 13)] for f in range(60)}
+    df = spark.createDataFrame([(f, n, v, f"{f}.{n}") for f, x in files.items() for n, v in x], "file_id int, line_no long, body string, more string")
+    want = sorted((f, n, v, f"{f}.{n}") for f, x in files.items() for (n, _), v in zip(x, cm.rewrite([v for _, v in x], cm.START)) if v is not None)
+    for bits in (3, 40):
+        got = cm.scan(df, bits)
+        assert [tuple(r) for r in got.sort("file_id", "line_no").collect()] == want
+        assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mining_merges_and_keeps_library_ids(spark):
     contents = ["Info: queue 5 left now", "Info: queue 6 left now", "Info: door a opened", "Info: door b opened", "Other line", "", None, "Info: queue 5 left now"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "lineid long, content string")

@@ -1,21 +1,18 @@
 """Console of a cable modem: blocks, tables and glued records are taken apart by one scan per block of lines.
 
-The scan is a finite state machine over line classes. For each block of lines it is first run from all its states
-at once (most fall together within a few lines), the blocks' transitions are composed in order, and then each block
-is rewritten from its known first state: a file of any length is many independent blocks.
+The scan is a finite state machine over line classes, which runs over blocks of lines (``folds``): a file of any length
+is many independent blocks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from timberline.logtypes.base import CLOCK, CLOCK_WORD, CTIME, IPV4, IPV6, LABELS, MAC, SNMP_MIB, LogType
-from timberline.plans.shared import block_of, materialise, ship
+from timberline.operators.folds import folded
+from timberline.plans.shared import materialise
 
 #: Lines by their beginning. Order is that of the tests.
 CLASSES = {
@@ -163,15 +160,45 @@ def step(line: Line, state: State) -> tuple[str | None, State]:
     return out, (block, table, header, False, count)
 
 
-def transitions(lines: list[str]) -> list[int]:
-    """For each of STATES the number of the state after the lines."""
-    now, number = list(range(len(STATES))), {s: i for i, s in enumerate(STATES)}
-    for text in lines:
-        line, seen = Line(text), {}
-        for s in set(now):
-            seen[s] = number[step(line, STATES[s])[1]]
-        now = [seen[s] for s in now]
-    return now
+#: Lines of which a task remembers what becomes of them.
+REMEMBERED = 1 << 14
+
+
+class Console:
+    """The scan as a machine over column body. A state is its number in STATES; lines that come again are looked up."""
+
+    reads, writes = ("body",), "body"
+
+    def __init__(self) -> None:
+        self.start, self.beginnings = STATES.index(START), list(range(len(STATES)))
+        self.numbers, self.known = {s: i for i, s in enumerate(STATES)}, {}
+
+    def after(self, text: str, state: int) -> tuple[str | None, int]:
+        if text not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[text] = (Line(text), {})
+        line, seen = self.known[text]
+        if state not in seen:
+            out, then = step(line, STATES[state])
+            seen[state] = (out, self.numbers[then])
+        return seen[state]
+
+    def run(self, rows: list[tuple], state: int) -> tuple[list, list[bool], int]:
+        out = []
+        for (text,) in rows:
+            new, state = self.after(text, state)
+            out.append(new)
+        return out, [x is not None for x in out], state
+
+    def ends(self, rows: list[tuple], states: list[int]) -> list[int]:
+        for (text,) in rows:
+            to = {s: self.after(text, s)[1] for s in set(states)}
+            states = [to[s] for s in states]
+        return states
+
+    def behind(self, ends: list[int], state: int) -> int:
+        return ends[state]
 
 
 def rewrite(lines: list[str], state: State) -> list[str | None]:
@@ -184,30 +211,7 @@ def rewrite(lines: list[str], state: State) -> list[str | None]:
 
 def scan(lines: DataFrame, bits: int = 14) -> DataFrame:
     """Rewrites column body of lines (file_id, line_no, body, ...); lines that go are left out."""
-    ship(lines.sparkSession)
-    x = lines.withColumn("block", block_of(F.col("line_no"), bits))
-
-    def pass_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "block": [pdf["block"].iloc[0]], "after": [transitions(pdf["body"].tolist())]})
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, now, first = pdf.sort_values("block"), STATES.index(START), []
-        for after in pdf["after"]:
-            first.append(now)
-            now = int(after[now])
-        return pd.DataFrame({"file_id": pdf["file_id"], "block": pdf["block"], "state": first})
-
-    # one short row per block of 2**bits lines
-    steps = x.select("file_id", "line_no", "block", "body").groupBy("file_id", "block").applyInPandas(pass_one, "file_id int, block long, after array<int>")
-    firsts = materialise(steps.groupBy("file_id").applyInPandas(compose, "file_id int, block long, state int"))
-
-    def pass_two(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        pdf["body"] = rewrite(pdf["body"].tolist(), STATES[int(pdf["state"].iloc[0])])
-        return pdf[pdf["body"].notna()].drop(columns=["block", "state"])
-
-    return x.join(firsts, ["file_id", "block"]).groupBy("file_id", "block").applyInPandas(pass_two, lines.schema)
+    return folded(materialise(lines), Console(), bits=bits)
 
 
 #: Parameters of this kind of log, and the times within its lines.
