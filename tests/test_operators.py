@@ -66,6 +66,38 @@ def test_wash_ftp(spark):
     assert [(r["line_no"], r["session_no"], r["label"]) for r in n.orderBy("line_no").collect()] == [(3, 0, 0), (6, 1, 1), (7, 2, 0)]
 
 
+def test_records_of_washed_lines_read_the_raw_lines_once(spark):
+    import random
+
+    rng, raw, want = random.Random(8), [], []
+    for f in range(4):
+        n, open_, marked, label, session, seen = 0, False, False, None, 0, None
+        for _ in range(150):
+            # steps of up to a third of a block: labels, nested lines and sessions cross blocks
+            n += rng.randint(1, 20_000)
+            mark, c, body = rng.random() < 0.1, rng.choice([None, None, None, "c001", "c002"]), rng.choice(["", "", " \t", "Status: up", "Status: (x)", "  nested", "Status: Disconnected from server"] if f else ["", "  nested"])
+            raw.append((f, n, f"2022-06-22 14:42:5{n % 10} {'segsign: ' * mark}{c + ' ' if c else ''}{body}"))
+            open_ = open_ or body.startswith("S")
+            if not open_ or not body.strip():
+                marked, label = marked or mark, c or label
+                continue
+            marked, label, had, inherited = False, None, marked, label
+            if body.startswith(" "):
+                seen[-1] += 1
+                seen[1].append("nested")
+                continue
+            session += mark or had or "Disc" in body
+            seen = [(f, n, session, c or inherited), [body.replace("(x)", "( x )")], 1]
+            want.append(seen)
+    df = spark.createDataFrame(raw, "file_id int, line_no long, value string")
+    want = [(*k, ", ".join(t), lines) for k, t, lines in want]
+    got = normalise.normalise(wash.wash(df, FTP)).select("file_id", "line_no", "session_no", "class_label", "content", "lines")
+    assert [tuple(r) for r in got.sort("file_id", "line_no").collect()] == want
+    slim = normalise.normalise(wash.wash(df, FTP, text=False)).select("file_id", "line_no", "session_no", "class_label", "lines")
+    assert [tuple(r) for r in slim.sort("file_id", "line_no").collect()] == [(*w[:4], w[5]) for w in want]
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_wash_with_a_learnt_width(spark):
     df = spark.createDataFrame([(1, 1, "12:34:56 hello"), (1, 2, "no time! hello"), (1, 3, "12:34:57 world")], "file_id int, line_no long, value string")
     assert [r[0] for r in wash.wash(df, FTP, width=9).orderBy("line_no").select("body").collect()] == ["hello", "world"]

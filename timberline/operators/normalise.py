@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.islands import carried, running_count
+from timberline.operators.islands import along, carried, running_count
 from timberline.operators.wash import is_nested
+from timberline.plans.shared import materialise
 
 
 def join_nested(lines: DataFrame, group: str = "file_id", order: str = "line_no", text: str = "body", nested: Column | None = None) -> DataFrame:
@@ -16,21 +17,42 @@ def join_nested(lines: DataFrame, group: str = "file_id", order: str = "line_no"
     """
     nested = is_nested(F.col(text)) if nested is None else nested
     x = carried(lines.withColumn("_nested", nested), group, order, F.when(~F.col("_nested"), F.col(order)), "_primary").where("_primary IS NOT NULL")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda p: p["t"])
+    parts = _in_order(order, text)
+    x = x.groupBy(group, F.col("_primary").alias(order)).agg(parts.alias("_parts"))
+    return x.select(group, order, F.size("_parts").alias("lines"), _put_together("_parts").alias(text))
+
+
+def _in_order(order: str, text: str) -> Column:
+    """Aggregate: texts in order."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda p: p["t"])
+
+
+def _put_together(parts: str) -> Column:
+    """The lines of a record as one text."""
     blanks = F.lit(" \t\r\n")
     # blanks go where lines meet: behind all lines but the last, before all but the first
-    n = F.size("_parts")
-    joined = F.array_join(F.transform("_parts", lambda t, i: F.when(i == 0, F.rtrim(t, blanks)).when(i == n - 1, F.ltrim(t, blanks)).otherwise(F.trim(t, blanks))), ", ")
-    x = x.groupBy(group, F.col("_primary").alias(order)).agg(parts.alias("_parts"))
-    return x.select(group, order, F.size("_parts").alias("lines"), F.when(F.size("_parts") > 1, joined).otherwise(F.element_at("_parts", 1)).alias(text))
+    n = F.size(parts)
+    joined = F.array_join(F.transform(parts, lambda t, i: F.when(i == 0, F.rtrim(t, blanks)).when(i == n - 1, F.ltrim(t, blanks)).otherwise(F.trim(t, blanks))), ", ")
+    return F.when(n > 1, joined).otherwise(F.element_at(parts, 1))
 
 
 def normalise(washed: DataFrame) -> DataFrame:
-    """Records of washed lines with their primary line's columns: content, label, session_id, class_label."""
-    heads = washed.where(~is_nested(F.col("body"))).drop("body")
-    x = join_nested(washed).join(heads, ["file_id", "line_no"])
-    x = running_count(x, "file_id", "line_no", F.col("marked"), "session_no")
-    return x.select("file_id", "line_no", "ts_text", F.col("body").alias("content"), F.col("abnormal").cast("int").alias("label"), "marked", "session_no", "class_label", "lines")
+    """Records of washed lines with their primary line's columns: content, label, session_no, class_label.
+
+    Lines that were washed without their text give records without content.
+    """
+    text = "body" in washed.columns
+    x = materialise(washed.withColumn("nested", is_nested(F.col("body"))) if text else washed)
+    n = F.col("line_no")
+    # a record's further lines are few: they go to its primary line
+    more = along(x.select("file_id", "line_no", "nested", *["body"] * text), "file_id", "line_no", {"primary": F.when(~F.col("nested"), n)}).where("nested AND primary IS NOT NULL")
+    more = more.groupBy("file_id", F.col("primary").alias("line_no")).agg(F.count(F.lit(1)).alias("more"), *[_in_order("line_no", "body").alias("texts")] * text)
+    heads = along(x.where("NOT nested"), "file_id", "line_no", {}, {"session_no": F.col("marked")})
+    x = heads.join(more, ["file_id", "line_no"], "left")
+    if text:
+        x = x.withColumn("parts", F.concat(F.array("body"), F.coalesce("texts", F.array().cast("array<string>"))))
+    lines = (1 + F.coalesce("more", F.lit(0))).cast("int").alias("lines")
+    return x.select("file_id", "line_no", "ts_text", *[_put_together("parts").alias("content")] * text, F.col("abnormal").cast("int").alias("label"), "marked", "session_no", "class_label", lines)
 
 
 def label_of(content: Column) -> tuple[Column, Column]:

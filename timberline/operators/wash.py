@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from timberline.functions.text import split_apart
 from timberline.logtypes import LogType
 from timberline.logtypes.base import EMPTY, FUZZY_TIME, NESTED
-from timberline.operators.islands import carried, running_count
+from timberline.operators.islands import along, running_count
+from timberline.plans.shared import join_counted, materialise
 
 
 def take_head(lines: DataFrame, log: LogType, width: int | None = None, column: str = "value") -> DataFrame:
@@ -61,19 +62,14 @@ def without_empty(lines: DataFrame) -> DataFrame:
     return x.where(~is_empty(F.col("body"))).join(gaps, ["file_id", "kept"], "left").withColumn("empty_before", F.coalesce("empty_before", F.lit(0))).drop("kept")
 
 
-def hand_over_labels(all_lines: DataFrame, kept: DataFrame) -> DataFrame:
-    """Gives session marks and class labels of lines that went to the next line that stayed; of several classes the latest."""
-    labelled = all_lines.where("marked OR class_label IS NOT NULL").select("file_id", "line_no", F.col("marked").alias("m"), F.col("class_label").alias("c"))
-    lost = labelled.join(kept.select("file_id", "line_no"), ["file_id", "line_no"], "left_anti")
-    # the next kept line: its number runs backward over kept lines and lost labels only
-    x = kept.select("file_id", F.col("line_no"), F.lit(False).alias("m"), F.lit(None).cast("string").alias("c"), F.col("line_no").alias("target")).unionByName(
-        lost.withColumn("target", F.lit(None).cast("long"))
-    )
-    back = x.withColumn("back", -F.col("line_no"))
-    given = carried(back, "file_id", "back", F.col("target"), "to").where("target IS NULL AND to IS NOT NULL")
-    given = given.groupBy("file_id", F.col("to").alias("line_no")).agg(F.max("m").alias("m"), F.max_by("c", F.when(F.col("c").isNotNull(), -F.col("back"))).alias("c"))
-    x = kept.join(given, ["file_id", "line_no"], "left")
-    return x.withColumns({"marked": F.col("marked") | F.coalesce("m", F.lit(False)), "class_label": F.coalesce("class_label", "c")}).drop("m", "c")
+def hand_over_labels(lines: DataFrame) -> DataFrame:
+    """Lines that stay (column kept), with session marks and class labels of the lines before them that go; of several classes the latest."""
+    n, goes = F.col("line_no"), ~F.col("kept")
+    lasts = {"at": F.when(F.col("kept"), n), "mark": F.when(goes & F.col("marked"), n), "label": F.when(goes & F.col("class_label").isNotNull(), F.struct(n.alias("n"), F.col("class_label").alias("c")))}
+    x = along(lines.where("kept OR marked OR class_label IS NOT NULL"), "file_id", "line_no", lasts, before=True).where("kept")
+    # only what stands behind the last line that stayed
+    marked, label = F.col("mark") > F.coalesce("at", F.col("mark") - 1), F.when(F.col("label.n") > F.coalesce("at", F.col("label.n") - 1), F.col("label.c"))
+    return x.withColumns({"marked": F.col("marked") | F.coalesce(marked, F.lit(False)), "class_label": F.coalesce("class_label", label)}).drop("at", "mark", "label")
 
 
 def cleaned(body: Column, log: LogType) -> Column:
@@ -86,8 +82,8 @@ def cleaned(body: Column, log: LogType) -> Column:
     return log.normalise(body) if log.normalise else body
 
 
-def wash(lines: DataFrame, log: LogType, width: int | None = None, lite: bool = False, max_line: int | None = None) -> DataFrame:
-    """Washed lines: file_id, line_no, ts_text, abnormal, marked, class_label, body.
+def wash(lines: DataFrame, log: LogType, width: int | None = None, lite: bool = False, max_line: int | None = None, text: bool = True) -> DataFrame:
+    """Washed lines: file_id, line_no, ts_text, abnormal, marked, class_label, body; without ``text`` column nested instead of body.
 
     ``lite`` is the short form for learning the timestamp's width: first ``max_line`` lines, no head, fewer splits.
     """
@@ -96,12 +92,24 @@ def wash(lines: DataFrame, log: LogType, width: int | None = None, lite: bool =
         body = F.regexp_replace("value", log.clean, "")
         x = x.select("file_id", "line_no", body.alias("body")).where(~is_empty(F.col("body")))
         return x.withColumn("body", split_apart(F.col("body"), log.lite_left, log.lite_right))
-    headed = take_head(lines, log, width)
-    x = clean_head(headed)
-    x = x.withColumn("body", cleaned(F.col("body"), log))
+    names = ["file_id", "line_no", "ts_text", "abnormal", "marked", "class_label"]
+    body = F.col("body")
+
+    def told(x: DataFrame) -> DataFrame:
+        """Patterns are looked for once, before anything is filtered or sorted: whether a line is empty, nested, a session's beginning."""
+        x = x.withColumn("empty", is_empty(body)).withColumn("body", split_apart(body, log.split_left, log.split_right))
+        x = x.withColumns({"session": body.rlike(log.session), "nested": is_nested(body)})
+        return x if text else x.drop("body")
+
+    x = take_head(lines, log, width).withColumn("primary", ~(is_nested(body) | (body == ""))).withColumn("body", cleaned(body, log))
+    headed = materialise(x if log.scan else told(x))
+    first = headed.where("primary").groupBy("file_id").agg(F.min("line_no").alias("first_primary"))
+    x = join_counted(headed, materialise(first), ["file_id"]).withColumn("kept", F.col("line_no") >= F.col("first_primary")).drop("first_primary", "primary")
     if log.scan:
-        x = log.scan(x)
-    x = x.where(~is_empty(F.col("body")))
-    x = hand_over_labels(headed, x) if width is None else x
-    x = x.withColumn("body", split_apart(F.col("body"), log.split_left, log.split_right))
-    return x.withColumn("marked", F.col("marked") | F.col("body").rlike(log.session))
+        stay = materialise(told(log.scan(x.where("kept"))).where("NOT empty"))
+        go = x.where("marked OR class_label IS NOT NULL").join(stay.select("file_id", "line_no"), ["file_id", "line_no"], "left_anti").select(*names, F.lit(False).alias("kept"))
+        x = stay.unionByName(go, True)
+    else:
+        x = x.withColumn("kept", F.col("kept") & ~F.col("empty"))
+    x = hand_over_labels(x) if width is None else x.where("kept")
+    return x.withColumn("marked", F.col("marked") | F.col("session")).select(*names, "body" if text else "nested")

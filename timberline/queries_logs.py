@@ -104,7 +104,7 @@ j AS (SELECT file_id, g, count(*)::INT AS lines FROM m WHERE g > 0 GROUP BY ALL)
 SELECT file_id, line_no, ts_text, abnormal::INT AS label, (sum(marked::INT) OVER (PARTITION BY file_id ORDER BY line_no))::BIGINT AS session_no, class_label, lines FROM m JOIN j USING (file_id, g) WHERE head""")
 def q_normalise(spark: SparkSession, folder: str) -> DataFrame:
     """Records of washed lines with label, session and class of their first line."""
-    x = normalise.normalise(wash.wash(raw_lines(spark, folder), FTP))
+    x = normalise.normalise(wash.wash(raw_lines(spark, folder), FTP, text=False))
     return x.select("file_id", "line_no", "ts_text", "label", "session_no", "class_label", "lines")
 
 
