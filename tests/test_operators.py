@@ -199,6 +199,21 @@ def test_torn_records(spark):
     assert got == [(1, "Plain"), (2, "Known line"), (3, "Plain"), (4, "Loading image 1"), (5, "zzz"), (7, "Lonely end")]
 
 
+def test_torn_records_of_many_files_make_no_group_of_each(spark):
+    library = spark.createDataFrame([(text_id("Known line"),)], "eventid string")
+    # the head waits over blocks that hold known records only, and is lost beyond the reach
+    torn = lambda f, n: [(f, 0, "0", "Loading imKnown line"), *[(f, 9 * i, "x", "Plain") for i in range(1, n)], (f, 9 * n, "0", "age 1"), (f, 9 * n + 1, "0", "Lonely")]
+    far = CM.scan_range + 1
+    df = spark.createDataFrame([r for f in range(30) for r in torn(f, far if f % 2 else far - 1)], "file_id int, line_no long, eventidold string, eventtemplate string")
+    want = [(f, n, {"Loading imKnown line": "Known line", "age 1": "age 1" if f % 2 else "Loading image 1"}.get(t, t)) for f in range(30) for _, n, _, t in torn(f, far if f % 2 else far - 1) if t != "Lonely"]
+    for bits in (2, 40):
+        got = heads.repair_torn(df, library, CM, bits=bits)
+        assert rows(got.select("file_id", "line_no", "eventtemplate"), "file_id", "line_no") == want
+        assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    # a kind of log whose records are not torn
+    assert sorted(heads.repair_torn(df, library, FTP).collect()) == sorted(df.collect())
+
+
 def test_rules_with_parameters_and_context(spark):
     base = "file_id int, lineid long, eventid string, content string, eventtemplate string"
     t = "DS channel status rxid <*> dcid <*> freq <*> qam <*> fec <*> snr <*> power <*> mod <*>"

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.text import template_id
 from timberline.logtypes import LogType
-from timberline.operators.islands import numbered
-from timberline.plans.shared import block_of, join_counted, materialise, ship
+from timberline.operators.folds import folded
+from timberline.plans.shared import join_counted, materialise
 
 #: Fixed value: longest timestamp that is tried.
 MAX_WIDTH = 50
 
 
-def known_tails(records: DataFrame, library: DataFrame, text: Column, most: int | None, least: int = 0) -> DataFrame:
-    """Adds cut: the smallest number of characters whose removal leaves a template of the library; null for none."""
+def smallest_cuts(keyed: DataFrame, library: DataFrame, text: Column, most: int | None, least: int = 0) -> DataFrame:
+    """_key and cut: the smallest number of characters whose removal leaves a template of the library, where there is one."""
     at = F.sequence(F.lit(least), F.least(F.length(text) - 1, F.lit(most)) if most is not None else F.length(text) - 1)
     ids = library.select(F.col("eventid").alias("_id")).distinct()
-    x = records.withColumn("_key", F.monotonically_increasing_id()) if "_key" not in records.columns else records
-    tails = x.where(F.length(text) > least).select("_key", F.explode(at).alias("cut"), text.alias("_t"))
+    tails = keyed.where(F.length(text) > least).select("_key", F.explode(at).alias("cut"), text.alias("_t"))
     tails = tails.select("_key", "cut", template_id(F.substr("_t", F.col("cut") + 1)).alias("_id"))
-    best = join_counted(tails, ids, ["_id"], "left_semi").groupBy("_key").agg(F.min("cut").alias("cut"))
-    return x.join(best, "_key", "left")
+    return join_counted(tails, ids, ["_id"], "left_semi").groupBy("_key").agg(F.min("cut").alias("cut"))
+
+
+def known_tails(records: DataFrame, library: DataFrame, text: Column, most: int | None, least: int = 0) -> DataFrame:
+    """Adds cut (``smallest_cuts``); null for none."""
+    x = records.withColumn("_key", F.monotonically_increasing_id()) if "_key" not in records.columns else records
+    return x.join(smallest_cuts(x, library, text, most, least), "_key", "left")
 
 
 def learn_width(records: DataFrame, library: DataFrame, order: str = "line_no", content: str = "content", template: str = "eventtemplate") -> DataFrame:
@@ -40,70 +45,63 @@ def learn_width(records: DataFrame, library: DataFrame, order: str = "line_no",
     return best.select(F.coalesce("best.width", F.lit(-1)).alias("width"), F.col("best.line").alias("line"))
 
 
+class Torn:
+    """Repair as a machine. A state is a head that is held back and how many records ago it was cut, or None.
+
+    What a held head is makes no difference to what is left behind the next unknown record, so a block is run ahead
+    from two beginnings: with no head, and with one that has no text.
+    """
+
+    reads, writes = ("eventidold", "eventtemplate", "_cut"), "eventtemplate"
+    start, beginnings = None, [None, (None, 0)]
+
+    def __init__(self, log: LogType) -> None:
+        self.heads, self.special, self.reach = log.torn_heads, set(log.torn_special), log.scan_range
+
+    def run(self, rows: list[tuple], state: tuple | None) -> tuple[list, list[bool], tuple | None]:
+        out, stays = [], []
+        for old, t, cut in rows:
+            stay = True
+            if state is not None:
+                state = (state[0], state[1] + 1)
+            if old != "0":
+                new = t
+            elif state is not None:
+                new = (state[0] or "") + t if state[1] <= self.reach else t
+                state = None
+            elif t[:1] not in self.heads:
+                new = t
+            elif cut is None:
+                # no rest is known: another writer's line begins in the next one
+                new, stay, state = None, False, (t, 0)
+            else:
+                new = t[cut:]
+                state = (t[: cut - 1] if hashlib.md5(new.encode()).hexdigest()[:8] in self.special else t[:cut], 0)
+            out.append(new)
+            stays.append(stay)
+        return out, stays, state
+
+    def ends(self, rows: list[tuple], states: list) -> list:
+        return [self.run(rows, s)[2] for s in states]
+
+    def behind(self, ends: list, state: tuple | None) -> tuple | None:
+        if state is None:
+            return ends[0]
+        held = ends[1]
+        return (state[0], state[1] + held[1]) if held is not None and held[0] is None else held
+
+
 def repair_torn(records: DataFrame, library: DataFrame, log: LogType, order: str = "line_no", bits: int = 14) -> DataFrame:
     """Records (file_id, order, eventidold, eventtemplate, ...) with torn ones repaired.
 
     Of an unknown template (eventidold '0') that begins with a character of the log type's list, the smallest head is
     cut whose rest is a known template: the rest stays in its place, and the head is put before the next unknown one
-    within the log type's range. If no rest is known the whole of it is a head. Only unknown records are looked at
-    in order, in blocks of positions: a block's outcome is found for both of its possible beginnings (a head is held
-    back from before it, or none is), blocks are put in a row, and each is repaired from its known beginning.
+    within the log type's range, known ones counted. If no rest is known the whole of it is a head. Records go by
+    in order, in blocks of order numbers (``folds``). Each different text is looked for in the library once.
     """
-    ship(records.sparkSession)
-    # positions count all records of the file, known ones too
-    every = numbered(records.select("file_id", F.col(order).alias("o"), "eventidold", F.col("eventtemplate").alias("t")), "file_id", "o", "at")
-    unknown = materialise(every.where(F.col("eventidold") == "0").select("file_id", "o", "t", "at", F.struct("file_id", "o").alias("_key")))
-    cut = known_tails(unknown, library, F.col("t"), None, 1).select("file_id", "o", "t", "at", "cut", block_of(F.col("at"), bits).alias("block"))
-    cut = materialise(cut)
-    heads, special, reach = log.torn_heads, set(log.torn_special), log.scan_range
-
-    def scan(pdf: pd.DataFrame, held: tuple | None) -> tuple[list, tuple | None]:
-        """What becomes of each record, and the head (with its position) that is held back behind the last one."""
-        import hashlib
-
-        out = []
-        for t, c, at in zip(pdf["t"], pdf["cut"], pdf["at"]):
-            if held is not None:
-                out.append(held[0] + t if at - held[1] <= reach else t)
-                held = None
-            elif t[:1] not in heads:
-                out.append(t)
-            elif c is None or c != c:
-                # no rest is known: another writer's line begins in the next one
-                out.append(None)
-                held = (t, int(at))
-            else:
-                rest = t[int(c) :]
-                head = t[: int(c)]
-                held = (head[:-1] if hashlib.md5(rest.encode()).hexdigest()[:8] in special else head, int(at))
-                out.append(rest)
-        return out, held
-
-    def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o")
-        ends = [scan(pdf, None)[1], scan(pdf.iloc[1:], None)[1]]
-        cells = [x for e in ends for x in (e or (None, None))]
-        return pd.DataFrame([[pdf["file_id"].iloc[0], pdf["block"].iloc[0], *cells]], columns=["file_id", "block", "free_t", "free_at", "held_t", "held_at"]).astype({"free_at": "Int64", "held_at": "Int64"})
-
-    def in_a_row(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, held = [], None
-        for r in pdf.sort_values("block").itertuples(index=False):
-            rows.append((r.file_id, r.block, *(held or (None, None))))
-            t, at = (r.held_t, r.held_at) if held else (r.free_t, r.free_at)
-            held = None if t is None or t != t else (t, int(at))
-        return pd.DataFrame(rows, columns=["file_id", "block", "from_t", "from_at"]).astype({"from_at": "Int64"})
-
-    kind = records.schema["file_id"].dataType.simpleString()
-    ends = cut.groupBy("file_id", "block").applyInPandas(outcomes, f"file_id {kind}, block long, free_t string, free_at long, held_t string, held_at long")
-    begins = materialise(ends.groupBy("file_id").applyInPandas(in_a_row, f"file_id {kind}, block long, from_t string, from_at long"))
-
-    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o")
-        t, at = pdf["from_t"].iloc[0], pdf["from_at"].iloc[0]
-        out, _ = scan(pdf, None if t is None or t != t else (t, int(at)))
-        return pd.DataFrame({"file_id": pdf["file_id"], "o": pdf["o"], "repaired": out, "torn": True})
-
-    fixed = cut.join(begins, ["file_id", "block"]).groupBy("file_id", "block").applyInPandas(repair, f"file_id {kind}, o long, repaired string, torn boolean")
-    x = records.join(fixed.withColumnRenamed("o", order), ["file_id", order], "left")
-    x = x.where("torn IS NULL OR repaired IS NOT NULL")
-    return x.withColumn("eventtemplate", F.coalesce("repaired", "eventtemplate")).drop("repaired", "torn")
+    x = materialise(records)
+    texts = x.where(F.col("eventidold") == "0").select(F.col("eventtemplate").alias("_key"))
+    texts = texts.where(F.left("_key", F.lit(1)).isin(*log.torn_heads)).distinct()
+    cuts = materialise(smallest_cuts(texts, library, F.col("_key"), None, 1).select(F.col("_key").alias("eventtemplate"), F.col("cut").alias("_cut")))
+    x = join_counted(x, cuts, ["eventtemplate"], "left").select(*records.columns, "_cut")
+    return folded(x, Torn(log), order=order, bits=bits).drop("_cut")
