@@ -1,12 +1,14 @@
 """Registered queries over small folders."""
 
+import hashlib
 import subprocess
 import sys
 from pathlib import Path
 
 import pandas as pd
 
-from timberline import queries
+from timberline import queries, queries_logs
+from timberline.logtypes import cm
 
 REPO = Path(__file__).resolve().parents[1]
 
@@ -25,6 +27,22 @@ def test_mining_covers_entries_without_a_component(spark, tmp_path):
     assert sum(got.values()) == len(contents) and got["spool <*> busy"] == 2
 
 
+def test_channel_rows_of_sessions_over_many_blocks(spark, tmp_path):
+    # five sessions, three of them long and mixed with each other, so that tables cross blocks of 64 lines
+    log = pd.DataFrame({"lineid": range(1, 3001)})
+    log["session_id"] = [n % 3 if n < 2900 else 3 + n % 2 for n in log["lineid"]]
+    log = log.assign(file_id=1, time="", content="", eventid="e", eventtemplate="t", label=0, eventidold="o").astype({"file_id": "int32", "label": "int32"})
+    log.to_parquet(f"{tmp_path}/train_norm_structured.parquet")
+    want = []
+    for f, x in log.groupby("session_id"):
+        numbers = sorted(x["lineid"])
+        lines = [queries_logs.CONSOLE[int(hashlib.md5(str(n).encode()).hexdigest()[:6], 16) % len(queries_logs.CONSOLE)] for n in numbers]
+        want += [(f, n, v) for n, v in zip(numbers, cm.rewrite(lines, cm.START)) if v and v[1:].startswith("S channel status")]
+    got = queries_logs.q_cm_channels(spark, str(tmp_path))
+    assert [tuple(r) for r in got.sort("file_id", "line_no").collect()] == want and want
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_queries_are_listed_before_there_is_a_session():
     # in a process of its own, as the session of the tests would hide a column that is made while a module is imported
     code = """
